@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, line_dedup, transport_stream
+from . import _runtime as rt
+from . import chat_format, html_extract, line_dedup, piece_codec, token_files, transport_stream
 
 PATH = "{}/{}.parquet"
 
@@ -54,6 +55,29 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_windows(turns.unionByName(hostile)))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rt.fresh_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return token_files.digests(token_files.read(spark, path))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = piece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.round_trip(table(spark, sf_dir, "documents"))
 
@@ -66,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_token_files": op8_token_files,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
 }
 
