@@ -12,6 +12,9 @@ import numpy as np
 #: Separators of plain words: ASCII white space, [\t-\r ].
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of bare words: all of ASCII but letters and digits.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[:128] = [not chr(i).isalnum() for i in range(128)]
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,8 +70,12 @@ def _pieces(text: bytes, separator: np.ndarray):
     yield buf[at:]
 
 
-def word_hashes(texts: list[str], separator: np.ndarray = SPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, offsets): words of texts[i] are hashes[offsets[i]:offsets[i + 1]]."""
+def word_hashes(texts: list[str], separator: np.ndarray = SPACE, lower: bool = False, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, offsets): words of texts[i] are hashes[offsets[i]:offsets[i + 1]].
+
+    With prefixes, a row of hashes for each word: its own and those of its first
+    so many bytes, marked by length (of the whole word where it is shorter).
+    """
     values = _VALUES
     if lower:
         values = values.copy()
@@ -94,7 +101,11 @@ def word_hashes(texts: list[str], separator: np.ndarray = SPACE, lower: bool = F
             after[:-1] = word[1:]
             after[edge[edge > 0] - 1] = False
             starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-            found.append(_hash_runs(buf, starts, ends, values))
+            own = _hash_runs(buf, starts, ends, values)
+            if prefixes:
+                cut = [_hash_runs(buf, starts, np.minimum(ends, starts + n), values) ^ np.uint64(n) for n in prefixes]
+                own = np.stack([own, *cut], axis=1)
+            found.append(own)
             per = np.bincount(np.searchsorted(edge, starts, side="right"), minlength=len(held))
             np.add.at(counts, np.asarray(owners) + 1, per[: len(held)])
         held, owners, size = [], [], 0
@@ -109,7 +120,8 @@ def word_hashes(texts: list[str], separator: np.ndarray = SPACE, lower: bool = F
             owners.append(i)
             size += len(piece)
     flush()
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.cumsum(counts)
+    none = np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
+    return (np.concatenate(found) if found else none), np.cumsum(counts)
 
 
 _STEPS = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
