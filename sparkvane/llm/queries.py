@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _runtime as rt
-from . import chat_format, html_extract, line_dedup, piece_codec, token_files, toxicity, transport_stream
+from . import chat_format, html_extract, license_scan, line_dedup, piece_codec, token_files, toxicity, transport_stream
 
 PATH = "{}/{}.parquet"
 
@@ -22,6 +22,30 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _op4_sql() -> str:
+    """The same windows and containments, from every window and without bands."""
+    quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
+    sizes = ", ".join(map(str, license_scan.SIZES))
+    words = r"list_filter(string_split(trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    shingles = "list_distinct([{0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2] for i in range(1, len({0}) - 1)])"
+    return f"""
+WITH given(license_id, template) AS (VALUES {quoted}),
+worded AS (SELECT license_id, {words.format("template")} AS w FROM given),
+wanted AS (SELECT license_id, list_min(list_filter([{sizes}], lambda s: s >= len(w))) AS half, {shingles.format("w")} AS ts FROM worded),
+docs AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
+spots AS (SELECT doc_id, w, h.half, unnest(range(0, len(w), h.half)) AS start FROM docs, (SELECT DISTINCT half FROM wanted) h),
+windows AS (SELECT doc_id, half, start, w[start + 1 : start + 2 * half] AS v FROM spots),
+sets AS (SELECT doc_id, half, start, {shingles.format("v")} AS s FROM windows WHERE len(v) >= 3),
+shares AS (SELECT doc_id, license_id, start, len(list_intersect(ts, s)) / len(ts) AS share FROM sets JOIN wanted USING (half) WHERE list_has_any(ts, s))
+SELECT doc_id, license_id, max(share) AS containment, min(start)::BIGINT AS first_word, count(*) AS windows
+FROM shares WHERE share >= {license_scan.CONTAINMENT} GROUP BY doc_id, license_id
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
@@ -95,6 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
@@ -103,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": _op4_sql(), "op5_line_dedup": OP5_SQL}
