@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _runtime as rt
-from . import chat_format, html_extract, license_scan, line_dedup, piece_codec, token_files, toxicity, transport_stream
+from . import chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, piece_codec, token_files, toxicity, transport_stream
 
 PATH = "{}/{}.parquet"
 
@@ -22,6 +22,35 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+grams AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)])) END AS g FROM split),
+classes AS (SELECT g, min(doc_id) AS rep, count(*) AS copies, len(g) AS n FROM grams GROUP BY g),
+terms AS (SELECT rep, n, copies, unnest(g) AS t FROM classes),
+pairs AS (
+  SELECT a.rep AS x, b.rep AS y, any_value(a.copies) AS cx, any_value(b.copies) AS cy, count(*) AS common, any_value(a.n) AS nx, any_value(b.n) AS ny
+  FROM terms a JOIN terms b ON a.t = b.t AND a.rep < b.rep GROUP BY a.rep, b.rep),
+linked AS (SELECT * FROM pairs WHERE common >= {ngram_join.THRESHOLD} * (nx + ny - common) - 1e-9),
+edges AS (SELECT x, y, cy AS c FROM linked UNION ALL SELECT y, x, cx FROM linked),
+reach(node, low) AS (SELECT rep, rep FROM classes UNION SELECT e.y, r.low FROM reach r JOIN edges e ON e.x = r.node WHERE r.low < e.y),
+groups AS (SELECT node, min(low) AS group_id FROM reach GROUP BY node),
+counts AS (SELECT x, sum(c) AS links FROM edges GROUP BY x)
+SELECT d.doc_id, c.rep AS class_id, c.copies, g.group_id, (coalesce(k.links, 0) + c.copies - 1)::BIGINT AS n_links
+FROM grams d JOIN classes c ON d.g = c.g JOIN groups g ON g.node = c.rep LEFT JOIN counts k ON k.x = c.rep
+"""
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -119,6 +148,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
@@ -128,4 +159,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": _op4_sql(), "op5_line_dedup": OP5_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_license_scan": _op4_sql(), "op5_line_dedup": OP5_SQL}
