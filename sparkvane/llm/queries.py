@@ -157,6 +157,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_media_columns": op10_media_columns,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op4_license_scan": _op4_sql(), "op5_line_dedup": OP5_SQL}
