@@ -14,6 +14,7 @@ with equal doc_id are ordered by text; a null doc_id comes first.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,18 +28,22 @@ from . import _runtime as rt
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1000  # rows between two entries of a row index
-MAX_WORDS = 400_000  # remembered; forgotten all at once when there are more
+MAX_PARTS = 800_000  # remembered pre-tokens; forgotten all at once when there are more
 FILE = "doc_id long, offset long, n_tokens int, ids array<int>"
-#: Where str.split() parts a text and the tokenizers' white space does not.
-_ODD_SPACES = frozenset("\x1c\x1d\x1e\x1f")
+#: Texts of these characters alone are composed already, and lower case is one character each.
+_PLAIN = re.compile("[\\t\\n\\r -~¡-ÿ]*")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+#: Fixed value: the pre-tokenizer's own pattern, over lower-cased plain texts.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_END_MARK = "</w>"
 
 
-class WordEncoder:
-    """A tokenizers file whose pre-tokenizer never joins across white space.
+class PartEncoder:
+    """A tokenizers file that lower-cases, drops white space and marks word ends.
 
-    Encoding then is the concatenation of the words' encodings, and each
-    distinct word goes through the library once.  Texts that hold an added
-    token, or spaces the library might see otherwise, go through it whole.
+    No merge crosses a pre-token, so a text's ids are its pre-tokens' ids, and
+    the library encodes each distinct pre-token once.  Texts outside Latin-1,
+    or with an added token in them, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -47,71 +52,58 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        for probe in ("Ab, c.d  e'll\n(F)éÉ x1", "don't STOP. 中文\tok"):
-            if b"".join(self.encode([probe])) != self._pack(self.lib.encode(probe, add_special_tokens=False).ids):
-                raise ValueError("the tokenizer joins words")
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, np.int32).tobytes()
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [self._pack(e.ids) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith(_END_MARK)
+        self.parts: dict[str, bytes] = {}
+        for probe in ("Ab, c.d  e'll\n(F)éÉ x1", "don't STOP. ''s 12½\tok", " "):
+            if b"".join(self.encode([probe])) != self._whole(probe):
+                raise ValueError("the tokenizer splits texts otherwise")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        # A word of plain letters and a final stop or comma is two pre-tokens, and
-        # ASCII case is folded: fewer distinct words for the library.
-        split: dict[str, tuple[str, str]] = {}
-        wanted = set()
-        for w in new:
-            core = w.rstrip(".,")
-            if core and core.lower().isalpha() and core[-1] < "ɐ":
-                if core.isascii():
-                    core, tail = core.lower(), w[len(core) :]
-                else:
-                    tail = w[len(core) :]
-            else:
-                core, tail = w, ""
-            split[w] = core, tail
-            wanted.update((core, tail))
-        wanted -= self.cores.keys()
-        wanted.discard("")
-        names = list(wanted)
-        self.cores.update(zip(names, self._library(names), strict=True))
-        cores = self.cores
-        for w, (core, tail) in split.items():
-            self.words[w] = cores[core] + cores[tail] if tail else cores[core]
-        if len(cores) > MAX_WORDS:
-            cores.clear()
+        """Encode all new pre-tokens in one call; each one's last token marks its end."""
+        names = list(new)
+        ids = np.array(self.lib.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(names):
+            self.parts.update((n, self._whole(n)) for n in names)
+            return
+        raw, at = ids.tobytes(), 0
+        for name, cut in zip(names, (cuts * 4).tolist(), strict=True):
+            self.parts[name] = raw[at:cut]
+            at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as native 32-bit integers."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        words = self.words
-        parts: list[list[str] | None] = []
+        if len(self.parts) > MAX_PARTS:
+            self.parts.clear()
+        known = self.parts
+        split: list[list[str] | None] = []
         new: set[str] = set()
         for t in texts:
-            if any(a in t for a in self.added) or not _ODD_SPACES.isdisjoint(t):
-                parts.append(None)
+            if not _PLAIN.fullmatch(t) or any(a in t for a in self.added):
+                split.append(None)
                 continue
-            p = t.split()
-            parts.append(p)
-            new.update([w for w in p if w not in words])
+            p = _PARTS.findall(t.lower())
+            split.append(p)
+            new.update(p)
+        new -= known.keys()
         if new:
             self._learn(new)
-        return [b"".join(map(words.__getitem__, p)) if p is not None else self._library([t])[0] for t, p in zip(texts, parts, strict=True)]
+        return [b"".join(map(known.__getitem__, p)) if p is not None else self._whole(t) for t, p in zip(texts, split, strict=True)]
 
 
-_loaded: dict[str, WordEncoder] = {}
+_loaded: dict[str, PartEncoder] = {}
 
 
-def load(path: str) -> WordEncoder:
+def load(path: str) -> PartEncoder:
     """The encoder of one file, once in each Python worker."""
     if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
+        _loaded[path] = PartEncoder(path)
     return _loaded[path]
 
 
