@@ -83,6 +83,17 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null is the empty text."""
     return [t or "" for t in column.to_pylist()]

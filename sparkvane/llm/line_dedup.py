@@ -137,19 +137,21 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return per_doc.select("doc", "version", "n_lines", "at").mapInArrow(run, BITMAPS)
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the kept text, and n_lines (before) and n_dropped after its columns.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with the kept text; with counts, n_lines (before) and n_dropped after its columns.
 
-    Every row of docs stays; a null text becomes the empty text.
+    Every row of docs stays; a null text becomes the empty text.  Columns of
+    docs that are named like the counts give way to them.
     """
     rt.prepare(docs.sparkSession)
-    own = docs.columns
-    version, bits = "__line_version", "__line_keep"
-    left = docs.withColumn(version, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    right = bitmaps.select(F.col("doc_id").alias("__line_doc"), F.col("version").alias("__line_other"), F.col("keep").alias(bits)).hint("shuffle_hash")
-    both = left.join(right, left[id_col].cast("long").eqNullSafe(right["__line_doc"]) & (left[version] == right["__line_other"]), "left").select(*own, bits)
+    added = ["n_lines", "n_dropped"] if counts else []
+    own = [c for c in docs.columns if c.lower() not in added]
+    version, bits, other, doc = rt.unused(docs, "line_version", "line_keep", "line_other", "line_doc")
+    left = docs.select(*[F.col(f"`{c}`") for c in own], F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(version))
+    right = bitmaps.select(F.col("doc_id").alias(doc), F.col("version").alias(other), F.col("keep").alias(bits)).hint("shuffle_hash")
+    both = left.join(right, left[id_col].cast("long").eqNullSafe(right[doc]) & (left[version] == right[other]), "left").select(*[F.col(f"`{c}`") for c in own], bits)
     at = own.index(text_col)
-    schema = docs.select(*[F.col(c) for c in own], F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in own], *[F.lit(0).cast("long").alias(c) for c in added]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,6 +167,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
                     gone.append(n - int(mask.sum()))
                 sizes.append(n)
             cols = [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(own)])]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], [*own, "n_lines", "n_dropped"])
+            cols += [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays(cols, [*own, *added])
 
     return both.mapInArrow(run, schema)

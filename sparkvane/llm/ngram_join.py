@@ -271,8 +271,9 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
 def representatives(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each group the row with the least doc_id stays."""
     joined = rt.materialize(join(docs, words, threshold, recall, id_col, text_col), "groups")
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    (name,) = rt.unused(docs, "gone")
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[name]), "left_anti")
     if joined.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept

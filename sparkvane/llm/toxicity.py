@@ -176,16 +176,31 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns and, after them, toxic_score and toxic_predicted."""
+    """docs' columns and, after them, toxic_score and toxic_predicted, which replace columns of these names."""
     rt.prepare(docs.sparkSession)
-    own = docs.columns
+    added = ["toxic_score", "toxic_predicted"]
+    own = [c for c in docs.columns if c.lower() not in added]
     at = own.index(text_col)
-    schema = docs.select(*[F.col(c) for c in own], F.lit(0.0).alias("toxic_score"), F.lit(0).alias("toxic_predicted")).schema
+    kept = docs.select(*[F.col(f"`{c}`") for c in own])
+    schema = kept.select("*", F.lit(0.0).alias(added[0]), F.lit(0).alias(added[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = machine.scorer()
         for b in batches:
             s = scorer(rt.texts(b.column(at)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*own, "toxic_score", "toxic_predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*own, *added])
 
-    return docs.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
+
+
+def reject(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with docs' columns."""
+    rt.prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = machine.scorer()
+        for b in batches:
+            yield b.filter(pa.array(scorer(rt.texts(b.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
