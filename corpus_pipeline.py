@@ -27,11 +27,11 @@ from sparkvane.llm.queries import table, tokenizer_file
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, machine).where("toxic_predicted = 0").select(*docs.columns)
+    return toxicity.reject(docs, machine)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).select(*docs.columns)
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), counts=False)
     # n_chars belongs to the text that is left.
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
