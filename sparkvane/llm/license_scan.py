@@ -131,7 +131,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     half = F.array_min(F.filter(F.array(*map(F.lit, SIZES)), lambda s: s >= F.size("words")))
     wanted = given.select("license_id", half.alias("t_half"), _shingles(F.col("words")).alias("t_shingles"))
     keys = wanted.select("*", F.posexplode(_signature(F.col("t_shingles"), bands)).alias("t_band", "t_value"))
-    used = sorted({next(s for s in SIZES if s >= len(r.words)) for r in head}) if small else list(SIZES)
+    used = sorted({next(s for s in SIZES if s >= len(r.words)) for r in head}) if small and head else list(SIZES)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))

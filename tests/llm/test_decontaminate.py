@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sparkvane.llm import decontaminate as dc
+
+LETTERS = "abcdefgh "
+
+
+def distance(item, text):
+    """Fewest edits between item and any part of text."""
+    a, s = dc.folded(item), dc.folded(text)
+    cost = [0] * (len(s) + 1)
+    for c in a:
+        new = [cost[0] + 1]
+        for j, t in enumerate(s):
+            new.append(min(cost[j] + (c != t), cost[j + 1] + 1, new[j] + 1))
+        cost = new
+    return min(cost)
+
+
+def edited(rng, text, n):
+    y = list(text)
+    for _ in range(n):
+        p, o = rng.integers(len(y)), rng.random()
+        if o < 0.34:
+            y[p] = rng.choice(list(LETTERS))
+        elif o < 0.67:
+            y.insert(p, rng.choice(list(LETTERS)))
+        elif len(y) > 1:
+            del y[p]
+    return "".join(y)
+
+
+def passage(rng, n):
+    return "".join(rng.choice(list(LETTERS), n))
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_against_all_alignments(seed):
+    rng = np.random.default_rng(seed)
+    items = [(i, passage(rng, int(n))) for i, n in enumerate(rng.integers(8, 160, 12))]
+    texts = []
+    for _ in range(25):
+        i, t = items[rng.integers(len(items))]
+        texts.append(passage(rng, 60) + edited(rng, t, int(rng.integers(0, len(t) * 0.15 + 1))).upper() + passage(rng, 60))
+    texts += ["", passage(rng, 7), items[0][1], items[1][1] + items[1][1]]
+    got = dc.Index(items).find(texts)
+    for t, found in zip(texts, got, strict=True):
+        want = {i: d for i, x in items if (d := distance(x, t)) <= dc.budget(len(x), dc.Q, dc.EDIT_RATE)}
+        assert {f.item_id: f.edits for f in found} == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from(LETTERS), min_size=1, max_size=30), st.integers(1, 12))
+def test_grams_hash_by_content(text, q):
+    h = dc.gram_hashes(dc.codes(text), q)
+    runs = [text[i : i + q] for i in range(len(text) - q + 1)]
+    assert len(h) == len(runs) and len(set(h.tolist())) == len(set(runs))
+
+
+def test_starts():
+    item = "this is the passage that leaks into a text"
+    (f,) = dc.Index([(4, item)]).find(["before it. " + item + " after it"])[0]
+    assert (f.item_id, f.edits, f.start) == (4, 0, 11)
+    (f,) = dc.Index([(4, item)]).find(["before it. " + item.replace("passage", "pasage") + " after it"])[0]
+    assert (f.edits, f.start) == (1, 11)
+
+
+def test_folding_keeps_places():
+    assert len(dc.folded("İstanbul ẞ")) == len("İstanbul ẞ") and dc.folded("ABCé") == "abcé"
+
+
+@pytest.fixture
+def benchmark(spark):
+    def make(rows):
+        return spark.createDataFrame([(i, t, 1) for i, t in rows], "item_id long, text string, doc_id int")
+
+    return make
+
+
+@pytest.mark.parametrize("block_chars", [2_000_000, 60])
+def test_frames(docs, benchmark, odd_texts, block_chars):
+    rng = np.random.default_rng(7)
+    items = [(i, passage(rng, 50)) for i in range(6)]
+    rows = [*((i, t) for i, t in enumerate(odd_texts)), (100, "x " + items[2][1] + " y " + items[4][1]), (101, edited(rng, items[3][1], 3)), (None, items[0][1]), (102, "clean " * 40)]
+    table = benchmark([*items, (90, None), (91, "short"), (None, "an item without any id")])
+    df = docs(rows)
+    found = dc.find(df, table, block_chars=block_chars).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(100, 2), (100, 4), (101, 3), (None, 0)}
+    clean = dc.clean(df, table, block_chars=block_chars)
+    assert clean.columns == df.columns
+    assert sorted(r.doc_id for r in clean.collect()) == [*range(len(odd_texts)), 102]
+    assert dc.find(df, benchmark([])).count() == 0 and dc.clean(df, benchmark([])).count() == len(rows)
+    assert dc.find(docs([]), table).count() == 0
+
+
+def test_a_passage_that_every_document_has(docs, benchmark):
+    item = "a passage that every document of this corpus holds somewhere"
+    found = dc.find(docs([(i, f"{i} " * (i % 7) + item + " tail") for i in range(300)]), benchmark([(0, item)]))
+    assert found.count() == 300
