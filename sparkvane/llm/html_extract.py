@@ -37,13 +37,16 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"br", "body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend"}
 DROPPED = frozenset("head nav footer aside form button dialog menu fieldset audio video canvas".split())
 JUNK = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments "
-    "commentlist discussion disqus respond reply replies share sharing social related recommended widget toolbar pagination pager copyright legal "
-    "disclaimer skip search form".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners "
+    "sidebar sidebars menu menus nav navbar navigation topnav subnav breadcrumb breadcrumbs masthead footer footers cookie cookies consent gdpr notice notices "
+    "notification notifications alert alerts announcement disclaimer popup modal overlay newsletter subscribe subscription signup login comment comments "
+    "commentlist commenter discussion disqus respond reply replies share sharing social related recommended recommendations widget widgets toolbar "
+    "pagination pager copyright legal skip search searchform form forms adsbygoogle".split()
 )
+#: A class word with one of these is about the layout, or about what holds the text.
+NOT_JUNK = frozenset("has with without no not is content body article main text post entry story".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-HOLDERS = frozenset(("article", "main"))
+HOLDERS = ("article", "main")  # the nearer first
 #: Elements that a start tag of the same group ends.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table body html article section div main td th".split())
@@ -53,40 +56,60 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAMES = re.compile(r"[A-Za-z]+")
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_LAYOUT = frozenset("has with without no not is".split())
+_ALWAYS = frozenset("comment comments commentlist sidebar footer advert adverts advertisement related share newsletter breadcrumb breadcrumbs navigation disqus replies".split())
 
 
 class _Node:
-    __slots__ = ("chars", "junk", "kids", "link_chars", "link_tags", "parent", "parts", "tag", "tags")
+    __slots__ = ("chars", "hidden", "junk", "kids", "link_chars", "link_tags", "parent", "parts", "tag", "tags")
 
     def __init__(self, tag: str, parent: _Node | None, junk: bool = False):
-        self.tag, self.parent, self.junk = tag, parent, junk
+        self.tag, self.parent, self.junk, self.hidden = tag, parent, junk, False
         self.parts: list = []  # strings and child nodes, in page order
         self.kids: list[_Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
 
 def _is_junk(tag: str, attrs: str, inside: bool) -> bool:
+    """inside: in an article or main element, whose header is the text's own."""
     if tag in DROPPED or tag == "header" and not inside:
         return True
-    if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
+    if not attrs:
         return False
     for name, *values in _ATTR.findall(attrs):
         value, name = next((v for v in values if v), ""), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDING.search(value):
             return True
+        if tag in ("html", "body", "main"):
+            continue
         if name == "role" and value.lower() in JUNK_ROLES:
             return True
         if name in ("class", "id"):
             for word in value.split():
-                # The whole word, or its first part: "comment-list", but not "has-sidebar".
-                parts = _NAMES.findall(word.lower())
-                if parts and parts[0] in JUNK and (len(parts) == 1 or parts[-1] not in ("content", "main", "body", "article")):
+                parts = _NAMES.findall(word)
+                lower = [x.lower() for x in parts]
+                if lower and (lower[0] in JUNK and len(lower) == 1 or not NOT_JUNK.intersection(lower) and (not JUNK.isdisjoint(lower) or "header" in lower and not inside)):
+                    return True
+                # Readers' words and asides to the text stay furniture when named after it: "post-comments", "article-sidebar".
+                if not _LAYOUT.intersection(lower) and not _ALWAYS.isdisjoint(lower):
                     return True
     return False
 
 
+def _own_text(n: _Node) -> bool:
+    """Whether furniture by class holds the page's text after all: its heading or main element."""
+    stack = list(n.kids)
+    while stack:
+        k = stack.pop()
+        if k.tag in ("main", "h1"):
+            return True
+        stack += [x for x in k.kids if not x.junk]
+    return False
+
+
 def parse(page: str) -> _Node:
     root = _Node("html", None)
     node, at = root, 0
@@ -142,6 +165,11 @@ def parse(page: str) -> _Node:
 def _measure(root: _Node) -> list[_Node]:
     """Count characters and tags, without furniture; the nodes that count, parents first."""
     order, stack = [], [root]
+    every = [root]
+    for n in every:
+        if n.junk and n.tag not in DROPPED and n.tag != "header" and not n.hidden and _own_text(n):
+            n.junk = False
+        every += n.kids
     while stack:
         n = stack.pop()
         order.append(n)
@@ -188,13 +216,13 @@ def select(root: _Node) -> _Node | None:
         if n is body:
             break
         n = n.parent
+    # The article around the densest subtree, or the one that is most of it.
+    for tag in HOLDERS:
+        around = next((n for n in path if n.tag == tag), None)
+        inner = [n for n in order if n.tag == tag and n.chars * 2 >= best.chars and _within(n, best)]
+        if around is not None or inner:
+            return around if around is not None else max(inner, key=lambda n: n.chars)
     threshold = min(dense[id(x)] for x in path)
-    for holder in path:
-        if holder.tag in HOLDERS:
-            return holder
-    inner = [n for n in order if n.tag in HOLDERS and n.chars * 2 >= best.chars and _within(n, best)]
-    if inner:
-        return inner[0]
     for up in path[1:]:
         if up is body or dense[id(up)] < threshold or up.tag in ("html", "body"):
             break

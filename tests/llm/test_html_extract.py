@@ -36,6 +36,26 @@ def test_furniture_goes_inside_the_article(piece):
     assert main_text(f"<html><body>{page}</body></html>") == TEXT
 
 
+STRAY = ["<div class='reader-comments'><p>Nice article, I really liked it a lot, thanks!</p><p>More of this please, dear author.</p></div>",
+"<div class='site-header'><a href=/>Logo</a> The site</div>","<div id='top-menu'><ul><li><a href=/>a</a></ul></div>","<div class='google-ads'>Buy buy buy buy buy</div>",
+"<div class=site-notice>We changed our terms of use last week, please read them</div>","<ins class=adsbygoogle>Ad text</ins>","<div style='display: none'>hidden words</div>",
+"<div class='leftSidebar'>Links: <a href=/a>a</a></div>","<div class='post-comments'>A comment</div>","<div role=alert>Alert text</div>","<ol class='comment-list'><li>c1<li>c2</ol>","<p class=copyright>(c) 2020</p>",
+"<div class='cookie-banner'><p>This site uses cookies, lots of them, and you should agree.</p><button>OK</button></div>","<form class=search><input></form>","<select><option>x</select>","<iframe src=x>fallback</iframe>","<div aria-hidden='true'>x</div>", "<section id='respond'><h3>Leave a reply</h3></section>","<div class='advertisement-box'>Ad</div>","<div class='alert alert-warning'>Outdated browser</div>"]
+HOLDERS = {"article":"<article>%s</article>","main":"<main>%s</main>","article in main":"<main><article>%s</article></main>","post":"<div class='post-content'>%s</div>","plain":"<div>%s</div>","id":"<div id=content>%s</div>", "wrapped":"<div class='layout with-sidebar'><div class=inner><article class='post has-comments'>%s</article></div></div>","genesis":"<div class='content-sidebar-wrap'><main>%s</main></div>"}
+
+
+@pytest.mark.parametrize("holder", HOLDERS)
+@pytest.mark.parametrize("piece", STRAY)
+def test_furniture_by_class(holder, piece):
+    h1, rest = "<h1>Title</h1>", "<p>First paragraph of some text that is long.</p><p>Second one, also long enough to count as text.</p>"
+    held = HOLDERS[holder] % (h1 + rest)
+    pages = [piece + held, held + piece]
+    if "header" not in piece:  # a header inside is the article's own
+        pages.append(HOLDERS[holder] % (h1 + piece + rest))
+    for page in pages:
+        assert main_text(f"<html><head><title>x</title></head><body>{page}</body></html>") == "Title First paragraph of some text that is long. Second one, also long enough to count as text."
+
+
 def test_all_furniture_at_once():
     page = "".join(FURNITURE[:7]) + ARTICLE + "".join(FURNITURE[7:])
     assert main_text(f"<html><body>{page}") == TEXT
