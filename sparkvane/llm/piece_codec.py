@@ -20,6 +20,7 @@ the vocabulary become their UTF-8 byte pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -36,7 +37,7 @@ _OTHERS = rf"{SPACE}?(?:[^\w{SPACE}]|[\d_²³¹])+"
 _SEGMENT = re.compile(rf"{SPACE}+(?={SPACE})|{_LETTERS}|{_OTHERS}|{SPACE}")
 _WHOLE = re.compile(rf"{_LETTERS}|{_OTHERS}|{SPACE}+")
 #: Remembered segments and pairs; both start anew when they are full.
-MAX_SEGMENTS, MAX_PAIRS = 400_000, 400_000
+MAX_SEGMENTS, MAX_PAIRS = 1_000_000, 400_000
 LONGEST_REMEMBERED = 64
 
 
@@ -94,7 +95,8 @@ class PieceTable:
             or any(self.score[SPACE * n] >= low for n in self.runs if n > 1)
         ):
             raise ValueError("not a byte-fallback BPE model whose pieces keep to one segment")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by piece, then by the piece before it
+        self.n_pairs = 0
         self.alone: dict[str, bool] = {}
         self.segments = _Segments(self)
         self.space_runs: dict[int, bytes] = {}
@@ -118,14 +120,16 @@ class PieceTable:
 
     def compatible(self, a: str, b: str) -> bool:
         out = self.merged(a + b) == [a, b]
-        if len(self.pairs) >= MAX_PAIRS:
+        if self.n_pairs >= MAX_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = out
+            self.n_pairs = 0
+        self.n_pairs += 1
+        self.pairs.setdefault(b, {})[a] = out
         return out
 
     def tokens(self, segment: str) -> list[str]:
         """The pieces of one segment; a character outside the vocabulary stands for itself."""
-        n, singles, pairs = len(segment), self.singles, self.pairs
+        n, singles, pairs, none = len(segment), self.singles, self.pairs, {}
         last: list[str | None] = [None if c in singles else c for c in segment]
         for end, piece in self.automaton.iter(segment):
             if last[end] is not None:
@@ -137,7 +141,7 @@ class PieceTable:
                     fits = self.alone[piece] = self.merged(piece) == [piece]
             else:
                 prior = last[before]
-                fits = pairs.get((prior, piece))
+                fits = pairs.get(piece, none).get(prior)
                 if fits is None:
                     fits = self.compatible(prior, piece)
             if fits:
@@ -157,7 +161,7 @@ class PieceTable:
                 ids += [self.byte_id[x] for x in p.encode("utf-8", "surrogatepass")]
             else:
                 ids.append(i)
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def space_run(self, n: int) -> bytes:
         """A run of n space markers that nothing else claims."""
