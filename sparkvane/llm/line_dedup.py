@@ -21,29 +21,48 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from . import _runtime as rt
 
 MIN_CHARS = 10
 #: What is stripped from both ends of a line for its key: [\x20\x09-\x0D].
 STRIPPED = " \t\n\x0b\f\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NULL_ID = np.iinfo(np.int64).min
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(STRIPPED)), UPPER, LOWER)
+_HASHES = "h1 long, h2 long, doc long, version long, n_lines int, pos int"
+
+
+def line_keys(text: str, min_chars: int = MIN_CHARS) -> tuple[list[int], list[bytes], int]:
+    """(positions, keys, number of lines): the lines whose keys are long enough."""
+    at, keys, lines = [], [], text.split("\n")
+    for pos, line in enumerate(lines):
+        key = line.strip(STRIPPED)
+        if len(key) >= min_chars:
+            at.append(pos)
+            keys.append(key.encode("utf-8", "surrogatepass").lower())  # of bytes: A-Z alone
+    return at, keys, len(lines)
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One row (h1, h2, doc, version, n_lines, pos) for each line with a long enough key."""
+    rt.prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [line_keys(t, min_chars) for t in rt.texts(b.column(2))]
+            digests = np.frombuffer(b"".join(xxh3_128_digest(k) for _, keys, _ in found for k in keys), "<i8").reshape(-1, 2)
+            own = pa.array(np.repeat(np.arange(b.num_rows), [len(at) for at, _, _ in found]))
+            n = pa.array([n for _, _, n in found], pa.int32())
+            pos = pa.array([p for at, _, _ in found for p in at], pa.int32())
+            cols = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), b.column(0).take(own), b.column(1).take(own), n.take(own), pos]
+            yield pa.RecordBatch.from_arrays(cols, [x.strip().split(" ")[0] for x in _HASHES.split(",")])
+
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines"))
-    lines = lines.select("doc", "version", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    keyed = lines.select("doc", "version", "n_lines", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc", "version", "n_lines", "pos")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text")).mapInArrow(run, _HASHES)
 
 
 _MARKS = "kind int, part int, h1 long, h2 long, doc long, version long, n_lines int, pos int"
