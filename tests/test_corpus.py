@@ -60,6 +60,7 @@ def test_bad_shapes_are_rejected(spark):
         lambda: Corpus.build(rows, 16_385),
         lambda: Corpus.build(rows, 2, count=4),
         lambda: Corpus.build(rows.where("id > 0"), 2),
+        lambda: Corpus.build(rows.where("id <> 1").unionByName(rows.where("id = 0")), 2),
         lambda: Corpus.build_memory(0, 1),
         lambda: Corpus.build_memory(3, (1 << 30) + 1),
     ):

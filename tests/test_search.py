@@ -15,11 +15,12 @@ def corpus_of(spark, rows, parts=3):
     return Corpus.build(frame(spark, rows, parts), len(rows[0]))
 
 
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
 @pytest.mark.parametrize("dimensions", [1, 3, 129])
-def test_equals_the_plain_version(spark, dimensions):
+def test_equals_the_plain_version(spark, dimensions, engine):
     rows = hashed_rows(257, dimensions)
     plain = [encode(r) for r in rows]
-    searcher = Searcher(corpus_of(spark, rows))
+    searcher = Searcher(corpus_of(spark, rows), engine=engine)
     query = hashed_rows(1, dimensions, 88_888)[0].tolist()
     s = scores(plain, query)
     assert [r.similarity for r in searcher.scores(query).collect()] == s.tolist()
@@ -197,3 +198,12 @@ def test_batch_plan_has_one_small_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and "MapInArrow" in plan
     single = searcher.search([1.0, 0, 0, 0], 3)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in single
+
+
+def test_near_ties_are_settled_exactly(spark):
+    """Rows whose scores differ by less than single precision can tell when summed."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=200).astype(np.float32)
+    rows = np.stack([base + rng.normal(size=200).astype(np.float32) * 1e-4 for _ in range(300)])
+    plain, query = [encode(r) for r in rows], rng.normal(size=200).astype(np.float32).tolist()
+    assert [tuple(n) for n in collect(Searcher(corpus_of(spark, rows)).search(query, 50))] == best(scores(plain, query), 50)
