@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _runtime as rt
+from . import _sieve
 from ._words import mix, shingle_sets
 from .components import components
 
@@ -251,7 +252,10 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     placed = tasks.repartition(n, *_TASK).sortWithinPartitions(*_TASK)
     candidates = rt.materialize(placed.mapInArrow(_candidates, _MEMBER), "candidates")
 
+    # Only documents that may be candidates are shuffled with their texts.
+    wanted = candidates.select("rep").distinct()
     own = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("text"))
+    own, _ = _sieve.split(own, F.col("__own"), wanted, "rep", candidates.count())
     texts = candidates.join(own, F.col("rep").eqNullSafe(F.col("__own"))).select(*_MEMBER_NAMES, "text")
     verified = rt.materialize(texts.repartition(n, *_TASK).sortWithinPartitions(*_TASK).mapInArrow(_verifier(words, threshold), _LINKED), "links")
 
@@ -273,7 +277,9 @@ def representatives(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     joined = rt.materialize(join(docs, words, threshold, recall, id_col, text_col), "groups")
     (name,) = rt.unused(docs, "gone")
     gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[name]), "left_anti")
+    # What is certainly no duplicate stays where it is; the rest meets the list by shuffle.
+    unsure, sure = _sieve.split(docs, F.col(id_col).cast("long"), gone, name, gone.count())
+    kept = unsure.join(gone, unsure[id_col].cast("long").eqNullSafe(gone[name]), "left_anti").unionByName(sure)
     if joined.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept
