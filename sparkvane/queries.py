@@ -18,6 +18,7 @@ from .operators.ranking import score_batch, top_k
 from .operators.search import Searcher
 from .plans.profile import overlap, stage_counts
 from .sources.ingest import bad_padded_rows
+from .sources.scratch import shared_folder
 
 DIMENSIONS = 64
 BATCH = 8
@@ -367,14 +368,7 @@ def exclusion_set_ops(spark, sf_dir):
 
 
 def _stored(spark: SparkSession, c: Corpus, page_rows: int = 128) -> Corpus:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sparkvane-")
-    return c.save(f"{root.rstrip('/')}/corpus-{uuid.uuid4().hex}", page_rows)
+    return c.save(f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", page_rows)
 
 
 _NEW = "SELECT vec_id AS id, list_transform(embedding, lambda x: -x) AS v FROM embeddings WHERE vec_id < 30"
