@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import shared_folder
+
 #: Rows and bytes of one Arrow batch; whatever a text's length, a Python worker
 #: holds a few of these batches and no more.
 BATCH_ROWS = 512
@@ -40,25 +42,6 @@ def prepare(spark: SparkSession) -> None:
     sc._sparkvane_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local master gets a temporary folder; on a cluster
-    there is no safe default, so the setting is asked for.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        current = sc._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="sparkvane-")
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
