@@ -2,7 +2,7 @@
 
 1. One Arrow pass gives each document the set of its word n-grams (hashes),
    a 128-bit digest of the set, and MinHash bands.  Documents with one digest
-   are a class and go on as one; a class of a million copies costs one row.
+   are copies and go on as one row, be they a million.
 2. Band hashes are shuffled.  A bucket's classes are dealt into blocks of a
    bounded size, and every pair of blocks is a task, so no bucket meets whole
    in one place.  A task knows the bands of its classes and keeps those that
@@ -11,14 +11,14 @@
    on the full n-gram sets by a product of 0/1 matrices.  It returns a row
    for each class, with its number of links and its least linked class, never
    a row for each pair.
-4. Links' components give groups.
+4. Links' components give classes.
 
 Bands and rows follow from the threshold and the recall at it (``plan``).
 
 Defined results: n-grams are runs of n words between white space, case kept; a
 text of fewer words has one n-gram, all of it; texts without any word (null,
 empty) are one class without links to others; rows that repeat a doc_id count
-as documents of their own, and share its group; a null doc_id is a document.
+as documents of their own, and share its class; a null doc_id is a document.
 """
 
 from __future__ import annotations
@@ -225,11 +225,12 @@ def _verifier(words: int, threshold: float):
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, class_id, copies, group_id, n_links) for each document.
+    """One row (doc_id, class_id, n_links, copy_id, copies) for each document.
 
-    ``class_id`` is the least doc_id with the same n-grams and ``copies`` their
-    number; ``n_links`` counts the other documents at or above the threshold,
-    copies included; ``group_id`` is the least doc_id that links lead to.
+    ``class_id`` is the least doc_id that links lead to, the same for all near
+    duplicates of each other; ``n_links`` counts the other documents at or above
+    the threshold, copies included; ``copy_id`` is the least doc_id with the same
+    n-grams and ``copies`` their number.
     """
     spark = docs.sparkSession
     bands, rows = plan(threshold, recall)
@@ -269,14 +270,14 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     label = label.select("d1", "d2", "rep", "copies", F.coalesce("component", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
     out = signed.select("doc_id", "c1", "c2").join(label, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
     group = F.when(F.col("group") != _NULL, F.col("group"))
-    return out.select("doc_id", F.col("rep").alias("class_id"), "copies", group.alias("group_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
+    return out.select("doc_id", group.alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), "copies")
 
 
 def representatives(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each group the row with the least doc_id stays."""
     joined = rt.materialize(join(docs, words, threshold, recall, id_col, text_col), "groups")
     (name,) = rt.unused(docs, "gone")
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias(name)).distinct()
+    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
     # What is certainly no duplicate stays where it is; the rest meets the list by shuffle.
     unsure, sure = _sieve.split(docs, F.col(id_col).cast("long"), gone, name, gone.count())
     kept = unsure.join(gone, unsure[id_col].cast("long").eqNullSafe(gone[name]), "left_anti").unionByName(sure)

@@ -42,7 +42,7 @@ edges AS (SELECT x, y, cy AS c FROM linked UNION ALL SELECT y, x, cx FROM linked
 reach(node, low) AS (SELECT rep, rep FROM classes UNION SELECT e.y, r.low FROM reach r JOIN edges e ON e.x = r.node WHERE r.low < e.y),
 groups AS (SELECT node, min(low) AS group_id FROM reach GROUP BY node),
 counts AS (SELECT x, sum(c) AS links FROM edges GROUP BY x)
-SELECT d.doc_id, c.rep AS class_id, c.copies, g.group_id, (coalesce(k.links, 0) + c.copies - 1)::BIGINT AS n_links
+SELECT d.doc_id, g.group_id AS class_id, (coalesce(k.links, 0) + c.copies - 1)::BIGINT AS n_links, c.rep AS copy_id, c.copies
 FROM grams d JOIN classes c ON d.g = c.g JOIN groups g ON g.node = c.rep LEFT JOIN counts k ON k.x = c.rep
 """
 

@@ -14,7 +14,7 @@ def grams(t, n=5):
 
 
 def plain(rows, threshold=0.8):
-    """{doc_id: (class, copies, group, links)} by comparing all pairs."""
+    """{doc_id: (copy, copies, class, links)} by comparing all pairs."""
     sets = [grams(t) for _, t in rows]
     n = len(rows)
     linked = [[i != j and (a == b or bool(a) and bool(b) and len(a & b) / len(a | b) >= threshold) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
@@ -28,7 +28,7 @@ def plain(rows, threshold=0.8):
 
 
 def joined(df, **how):
-    return {r.doc_id: (r.class_id, r.copies, r.group_id, r.n_links) for r in nj.join(df, **how).collect()}
+    return {r.doc_id: (r.copy_id, r.copies, r.class_id, r.n_links) for r in nj.join(df, **how).collect()}
 
 
 def corpus(seed=0, groups=12):
