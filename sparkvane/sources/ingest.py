@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.half import from_half_bytes
 from ..functions.vectors import inverse_norm, is_valid, quantized
 from ..limits import InvalidInput, check_dimensions, check_rows, padded
+from .scratch import shared_folder
 
 CORPUS = "id long, hv array<float>, inv_norm float"
 
@@ -16,17 +18,22 @@ CORPUS = "id long, hv array<float>, inv_norm float"
 def with_ids(rows: DataFrame, first: int = 0) -> tuple[DataFrame, int]:
     """rows with a dense ``id`` from ``first`` on, in partition order, and their count.
 
-    Two passes: count partitions, then add each one's offset to the row's place
-    in it.  The rows are kept between the passes so that both see the same ones.
+    Rows are written to the shared folder with their partition and place in it,
+    so nothing that is recomputed or lost later can move them.  Then partitions
+    are counted, and each one's offset is added to the places.
     """
-    numbered = rows.withColumn("__at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    placed = rows.withColumn("__at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    numbered = spark.read.schema(placed.schema).parquet(path)
     part = F.shiftright("__at", 33)
     counts = numbered.groupBy(part.alias("p")).count().orderBy("p").collect()  # a row for each partition
     bases, at = [], first
     for r in counts:
         bases.append((r.p, at))
         at += r["count"]
-    base = rows.sparkSession.createDataFrame(bases, "__p long, __base long")
+    base = spark.createDataFrame(bases, "__p long, __base long")
     place = F.col("__at").bitwiseAND((1 << 33) - 1)
     out = numbered.join(F.broadcast(base), part == F.col("__p")).select((F.col("__base") + place).alias("id"), *rows.columns)
     return out, at - first

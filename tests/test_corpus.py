@@ -41,9 +41,10 @@ def test_build(spark):
 
 
 def test_build_numbers_rows_without_ids(spark):
-    rows = frame(spark, hashed_rows(50, 3)).repartition(5)
+    rows = frame(spark, hashed_rows(50, 3)).repartitionByRange(5, "id").sortWithinPartitions("id")
     c = Corpus.build(rows.select("v"), 3, id_col=None)
-    assert [r.id for r in c.df.orderBy("id").collect()] == list(range(50))
+    assert content(c) == plain(hashed_rows(50, 3))
+    assert content(c.append(frame(spark, hashed_rows(9, 3, 50)).coalesce(1).select("v"))) == plain(hashed_rows(59, 3))
 
 
 @pytest.mark.parametrize("row", [[0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [1.0], None])
