@@ -28,7 +28,7 @@ from . import _runtime as rt
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1000  # rows between two entries of a row index
-MAX_PARTS = 800_000  # remembered pre-tokens; forgotten all at once when there are more
+MAX_PARTS = 1_000_000  # remembered pre-tokens; forgotten all at once when there are more
 FILE = "doc_id long, offset long, n_tokens int, ids array<int>"
 #: Texts of these characters alone are composed already, and lower case is one character each.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-ÿ]*")
