@@ -175,33 +175,27 @@ def _verifier(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rt.sorted_groups(batches, _TASK):
             sets, want = shingle_sets(rt.texts(t.column("text")), words), list(zip(t.column("c1").to_pylist(), t.column("c2").to_pylist(), strict=True))
-            # A doc_id that stands on several texts brings them all; only the class's own counts, once.
+            # A doc_id that stands on several texts brings them all; only the row's own counts, once.
             seen: set = set()
-            right_text = []
-            for k, (s, w) in enumerate(zip(sets, want, strict=True)):
-                mine = (*w, t.column("block")[k].as_py())
-                right_text.append(mine not in seen and digest(s) == w)
-                if right_text[-1]:
-                    seen.add(mine)
-            t = t.drop_columns(["text"]).filter(pa.array(right_text))
-            sets = [s for s, ok in zip(sets, right_text, strict=True) if ok]
+            own = []
+            for s, w, block in zip(sets, want, t.column("block").to_pylist(), strict=True):
+                own.append((*w, block) not in seen and digest(s) == w)
+                if own[-1]:
+                    seen.add((*w, block))
+            t = t.drop_columns(["text"]).filter(pa.array(own))
+            sets = [s for s, ok in zip(sets, own, strict=True) if ok]
             if t.num_rows < 2:
                 continue
             t, left, right, one = _halves(t)
             if not len(left) or not len(right):
                 continue
             bands, band = _matrix(t, "bands"), t.column("band")[0].as_py()
-            sizes = np.array([len(s) for s in sets], np.float32)
-            both = shared([sets[k] for k in left], sets_right := [sets[k] for k in right])
-            linked = both >= np.float32(threshold) * (sizes[left][:, None] + sizes[right][None, :] - both) - np.float32(1e-3)
-            # The bound is exact in integers: |a & b| / |a | b| >= threshold.
-            exact = both.astype(np.int64)
-            union = sizes[left].astype(np.int64)[:, None] + sizes[right].astype(np.int64)[None, :] - exact
-            linked &= exact >= np.ceil(threshold * union - 1e-9)
-            linked &= _fresh(bands[left], bands[right], band)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            both = shared([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+            union = sizes[left][:, None] + sizes[right][None, :] - both
+            linked = (both >= np.ceil(threshold * union - 1e-9)) & _fresh(bands[left], bands[right], band)
             if one:
                 np.fill_diagonal(linked, False)
-            del sets_right
             rep, copies = t.column("rep").fill_null(_NULL).to_numpy(), t.column("copies").to_numpy()
             links = np.zeros(t.num_rows, np.int64)
             links[left] += linked @ copies[right]
