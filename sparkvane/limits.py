@@ -69,7 +69,7 @@ def check_batch(queries: Sequence[Sequence[float]], dimensions: int, k: int) ->
 def check_excluded(excluded: Iterable[int], count: int) -> list[int]:
     out = sorted({int(i) for i in excluded})
     if out and not (0 <= out[0] and out[-1] < count):
-        raise InvalidInput("an excluded ID is outside the index")
+        raise InvalidInput("excluded IDs must be rows of the corpus")
     return out
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from .operators.ranking import score_batch, top_k
 from .operators.search import Searcher
 from .plans.profile import overlap, stage_counts
 from .sources.ingest import bad_padded_rows
-from .sources.scratch import shared_folder
+from .sources.scratch import scratch_path
 
 DIMENSIONS = 64
 BATCH = 8
@@ -368,7 +367,7 @@ def exclusion_set_ops(spark, sf_dir):
 
 
 def _stored(spark: SparkSession, c: Corpus, page_rows: int = 128) -> Corpus:
-    return c.save(f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", page_rows)
+    return c.save(scratch_path(spark, "corpus"), page_rows)
 
 
 _NEW = "SELECT vec_id AS id, list_transform(embedding, lambda x: -x) AS v FROM embeddings WHERE vec_id < 30"

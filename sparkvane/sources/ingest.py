@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.half import from_half_bytes
 from ..functions.vectors import inverse_norm, is_valid, quantized
 from ..limits import InvalidInput, check_dimensions, check_rows, padded
-from .scratch import shared_folder
+from .scratch import scratch_path
 
 CORPUS = "id long, hv array<float>, inv_norm float"
 
@@ -23,7 +21,7 @@ def with_ids(rows: DataFrame, first: int = 0) -> tuple[DataFrame, int]:
     are counted, and each one's offset is added to the places.
     """
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "rows")
     placed = rows.withColumn("__at", F.monotonically_increasing_id())
     placed.write.parquet(path)
     numbered = spark.read.schema(placed.schema).parquet(path)

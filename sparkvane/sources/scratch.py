@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="sparkvane-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh place in the application's own part of the shared folder, which goes when the driver's JVM ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_folder(spark)}/{sc.applicationId}"
+    if getattr(sc, "_sparkvane_scratch", None) != folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._sparkvane_scratch = folder
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
