@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -14,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import shared_folder
+from ..sources.scratch import scratch_path
 
 #: Rows and bytes of one Arrow batch; whatever a text's length, a Python worker
 #: holds a few of these batches and no more.
@@ -42,26 +41,15 @@ def prepare(spark: SparkSession) -> None:
     sc._sparkvane_shipped = True
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a
     lost executor costs nothing that was done before."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete what fresh_path() named, by Hadoop's own file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _runtime as rt
+from ..sources.scratch import scratch_path
 from . import chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, piece_codec, token_files, toxicity, transport_stream
 
 PATH = "{}/{}.parquet"
@@ -124,7 +124,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = rt.fresh_path(spark, "token-files")
+    path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
     return token_files.digests(token_files.read(spark, path))
 
