@@ -16,7 +16,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +107,15 @@ def load(path: str) -> PartEncoder:
     return _loaded[path]
 
 
+def counter(path: str) -> Callable[[list[str]], list[int]]:
+    """Token counts of texts, by the remembering encoder."""
+
+    def count(texts: list[str]) -> list[int]:
+        return [len(x) // 4 for x in load(path).encode(texts)]
+
+    return count
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode docs and write them below path, in ascending doc_id order."""
     spark = docs.sparkSession

@@ -78,6 +78,12 @@ def test_parts_equal_the_library(odd_texts):
             assert np.frombuffer(g, np.int32).tolist() == e.ids, t
 
 
+def test_counts():
+    texts = ["", "one two, three!", "中文 text"]
+    lib = Tokenizer.from_file(WORDS)
+    assert token_files.counter(WORDS)(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("parts", [1, 4])
 def test_token_files(spark, docs, odd_texts, tmp_path, parts):
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
