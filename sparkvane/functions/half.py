@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
 LEAST_NORMAL = 2.0**-14
 OVERFLOW = 65_520.0  # rounds to infinity from here on
 
@@ -48,6 +50,7 @@ def from_half_bytes(rows: DataFrame) -> DataFrame:
             v = [None if x is None or len(x) % 2 else np.frombuffer(x, "<f2").astype(np.float32) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.list_(pa.float32()))], ["id", "v"])
 
+    ship(rows.sparkSession)
     return rows.select("id", "v").mapInArrow(run, "id long, v array<float>")
 
 
@@ -59,4 +62,5 @@ def to_half_bytes(rows: DataFrame) -> DataFrame:
             v = [None if x is None else half_bytes(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(v, pa.binary())], ["id", "v"])
 
+    ship(rows.sparkSession)
     return rows.select("id", "v").mapInArrow(run, "id long, v binary")
