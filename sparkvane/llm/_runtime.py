@@ -3,17 +3,14 @@ batch sizes, and streaming over sorted partitions."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import scratch_path
+from ..sources.shipping import ship
 
 #: Rows and bytes of one Arrow batch; whatever a text's length, a Python worker
 #: holds a few of these batches and no more.
@@ -25,20 +22,7 @@ def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session and make the package importable on executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    top = Path(__file__).resolve().parents[2]
-    reachable = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if any(p and Path(p).resolve() == top for p in reachable):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_sparkvane_shipped", False):
-        return
-    package = top / "sparkvane"
-    out = Path(tempfile.mkdtemp()) / "sparkvane.zip"  # the driver serves it to executors
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(top))
-    sc.addPyFile(str(out))
-    sc._sparkvane_shipped = True
+    ship(spark)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
