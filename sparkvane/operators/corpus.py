@@ -125,7 +125,8 @@ class Corpus:
 
     @property
     def shard_count(self) -> int:
-        return len(self.df.inputFiles()) if self.manifest else self.df.rdd.getNumPartitions()
+        """Files of a stored corpus, else partitions that have rows; never part of a result."""
+        return len(self.df.inputFiles()) if self.manifest else self.df.select(F.spark_partition_id()).distinct().count()
 
     def shards(self) -> DataFrame:
         """The rows, for scorers of one's own."""

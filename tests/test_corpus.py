@@ -37,7 +37,7 @@ def test_build(spark):
     c = Corpus.build(frame(spark, rows), 7, count=40)
     assert content(c) == plain(rows)
     assert (len(c), c.dimensions, c.padded_dimensions, c.is_empty, list(c.capacity_range)[-1]) == (40, 7, 128, False, 39)
-    assert c.memory_usage().total == 40 * (14 + 4)
+    assert c.memory_usage().total == 40 * (14 + 4) and c.shard_count >= 1 and c.shards() is c.df
 
 
 def test_build_numbers_rows_without_ids(spark):
@@ -155,7 +155,7 @@ def test_save_and_load(spark, folder):
     grown = saved.append(frame(spark, rows[:3]), id_col="id")
     assert content(Corpus.load(spark, folder)) == content(grown)
     assert content(Corpus.load(spark, folder, saved.version)) == plain(rows)
-    assert size_of(spark, folder) > 0
+    assert size_of(spark, folder) > 0 and grown.shard_count >= saved.shard_count >= 1
     empty = Corpus.build(spark.createDataFrame([], "id long, v array<float>"), 5).save(folder + "-empty")
     assert len(Corpus.load(spark, folder + "-empty")) == 0 and content(empty) == []
 
