@@ -17,8 +17,10 @@ Bands and rows follow from the threshold and the recall at it (``plan``).
 
 Defined results: n-grams are runs of n words between white space, case kept; a
 text of fewer words has one n-gram, all of it; texts without any word (null,
-empty) are one class without links to others; rows that repeat a doc_id count
-as documents of their own, and share its class; a null doc_id is a document.
+empty) are one class without links to others.  Rows are told apart by doc_id
+and text: a doc_id on two texts links neither to the other, and so do null
+ids, which come after all others.  Groups that are not linked can have one
+class_id only where a repeated or null doc_id is the least of both.
 """
 
 from __future__ import annotations
@@ -41,7 +43,6 @@ RECALL = 0.999  # of a pair exactly at the threshold
 MAX_HASHES = 96
 BLOCK = 1024  # classes of one block
 BLOCK_NGRAMS = 4_000_000  # and their n-grams
-_NULL = np.iinfo(np.int64).min
 
 
 def plan(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -82,20 +83,27 @@ def digest(grams: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a.view(np.int64))), int(np.int64(b.view(np.int64)))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, k1: str = "t1", k2: str = "t2") -> DataFrame:
+    """docs with 128 bits of each row's doc_id and text."""
+    own = F.col(id_col).cast("long"), F.col(text_col)
+    return docs.withColumns({k1: F.xxhash64(*own), k2: F.xxhash64(F.lit(1), *own)})
+
+
 def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, c1, c2, n_grams, bands) of every document."""
+    """(doc_id, t1, t2, c1, c2, n_grams, bands) of every document."""
     rt.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for b in batches:
-            sets = shingle_sets(rt.texts(b.column(1)), words)
+            sets = shingle_sets(rt.texts(b.column(3)), words)
             keys = [digest(s) for s in sets]
-            cols = [b.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            cols = [*b.columns[:3], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
             cols.append(pa.array([signer.bands_of(s) for s in sets], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "c1", "c2", "n_grams", "bands"])
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t1", "t2", "c1", "c2", "n_grams", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, c1 long, c2 long, n_grams int, bands array<long>")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _keyed(chosen, "doc_id", "text").select("doc_id", "t1", "t2", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, c1 long, c2 long, n_grams int, bands array<long>")
 
 
 def _fresh(bands_a: np.ndarray, bands_b: np.ndarray, band: int) -> np.ndarray:
@@ -117,7 +125,7 @@ def _halves(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, bool]:
 
 
 _TASK = ["key", "i", "j"]
-_MEMBER = "key long, i int, j int, block int, band int, c1 long, c2 long, rep long, n_grams int, copies long, bands array<long>"
+_MEMBER = "key long, i int, j int, block int, band int, c1 long, c2 long, node long, t1 long, t2 long, n_grams int, copies long, bands array<long>"
 _MEMBER_NAMES = [x.strip().split(" ")[0] for x in _MEMBER.split(",")]
 
 
@@ -168,20 +176,14 @@ def shared(a: list[np.ndarray], b: list[np.ndarray], limit: int = 1 << 23) -> np
     return out
 
 
-_LINKED = "rep long, c1 long, c2 long, links long, least long"
+_LINKED = "node long, links long, least long"
 
 
 def _verifier(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rt.sorted_groups(batches, _TASK):
             sets, want = shingle_sets(rt.texts(t.column("text")), words), list(zip(t.column("c1").to_pylist(), t.column("c2").to_pylist(), strict=True))
-            # A doc_id that stands on several texts brings them all; only the row's own counts, once.
-            seen: set = set()
-            own = []
-            for s, w, block in zip(sets, want, t.column("block").to_pylist(), strict=True):
-                own.append((*w, block) not in seen and digest(s) == w)
-                if own[-1]:
-                    seen.add((*w, block))
+            own = [digest(s) == w for s, w in zip(sets, want, strict=True)]
             t = t.drop_columns(["text"]).filter(pa.array(own))
             sets = [s for s, ok in zip(sets, own, strict=True) if ok]
             if t.num_rows < 2:
@@ -196,13 +198,13 @@ def _verifier(words: int, threshold: float):
             linked = (both >= np.ceil(threshold * union - 1e-9)) & _fresh(bands[left], bands[right], band)
             if one:
                 np.fill_diagonal(linked, False)
-            rep, copies = t.column("rep").fill_null(_NULL).to_numpy(), t.column("copies").to_numpy()
+            node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
             links = np.zeros(t.num_rows, np.int64)
             links[left] += linked @ copies[right]
             if not one:
                 links[right] += linked.T @ copies[left]
-            least = rep.copy()
-            while True:  # the least representative that links inside this task lead to
+            least = node.copy()
+            while True:  # the least node that links inside this task lead to
                 before = least.copy()
                 for own, other, m in ((left, right, linked), (right, left, linked.T)):
                     some = m.any(axis=1)
@@ -212,27 +214,23 @@ def _verifier(words: int, threshold: float):
                     break
             out = np.flatnonzero(links > 0)
             if len(out):
-                c = [t.column(n).take(pa.array(out)).combine_chunks() for n in ("rep", "c1", "c2")]
-                yield pa.RecordBatch.from_arrays([*c, pa.array(links[out]), pa.array(least[out])], ["rep", "c1", "c2", "links", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (node, links, least)], ["node", "links", "least"])
 
     return run
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (doc_id, class_id, n_links, copy_id, copies) for each document.
-
-    ``class_id`` is the least doc_id that links lead to, the same for all near
-    duplicates of each other; ``n_links`` counts the other documents at or above
-    the threshold, copies included; ``copy_id`` is the least doc_id with the same
-    n-grams and ``copies`` their number.
-    """
+def _grouped(docs: DataFrame, words: int, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """``join``'s columns, the row's key (t1, t2) and that of the row that stays of its group (w1, w2)."""
     spark = docs.sparkSession
     bands, rows = plan(threshold, recall)
     n = rt.partitions(spark)
     signed = rt.materialize(signatures(docs, words, bands, rows, id_col, text_col), "signatures")
 
-    grouped = signed.groupBy("c1", "c2", "n_grams").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    classes = rt.materialize(grouped, "classes")
+    # A class's first row has the least doc_id, null after all others; its text stands for the class.
+    ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    grouped = signed.groupBy("c1", "c2", "n_grams").agg(F.min(ordered).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    # A class is a node of its own, whatever its doc_id; written, the numbers stay.
+    classes = rt.materialize(grouped.select("*", F.monotonically_increasing_id().alias("node")), "classes")
 
     # Buckets: a band's number is part of its hash.
     spread = classes.where("n_grams > 0").select("c1", "c2", "n_grams", F.posexplode("bands").alias("band", "key"))
@@ -240,41 +238,65 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_NGRAMS)).cast("int")
     met = spread.join(sizes, F.col("key") == F.col("bucket")).select("key", "band", "c1", "c2", blocks.alias("blocks"))
     met = met.withColumn("block", F.pmod(F.xxhash64("c1", "c2", "key"), F.col("blocks")).cast("int"))
-    about = classes.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "rep", "n_grams", "copies", "bands")
+    about = classes.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "node", F.col("head.t1").alias("t1"), F.col("head.t2").alias("t2"), "n_grams", "copies", "bands")
     met = met.join(about, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).drop("d1", "d2")
     tasks = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "c1", "c2", "rep", "n_grams", "copies", "bands")
+    tasks = tasks.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "c1", "c2", "node", "t1", "t2", "n_grams", "copies", "bands")
     placed = tasks.repartition(n, *_TASK).sortWithinPartitions(*_TASK)
     candidates = rt.materialize(placed.mapInArrow(_candidates, _MEMBER), "candidates")
 
-    # Only documents that may be candidates are shuffled with their texts.
-    wanted = candidates.select("rep").distinct()
-    own = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("text"))
-    own, _ = _sieve.split(own, F.col("__own"), wanted, "rep", candidates.count())
-    texts = candidates.join(own, F.col("rep").eqNullSafe(F.col("__own"))).select(*_MEMBER_NAMES, "text")
+    # Only documents that may be candidates are shuffled with their texts, equal rows as one.
+    wanted = candidates.select("t1").distinct()
+    own = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", "k1", "k2").select("k1", "k2", "text")
+    own, _ = _sieve.split(own, F.col("k1"), wanted, "t1", candidates.count())
+    own = own.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    texts = candidates.join(own, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select(*_MEMBER_NAMES, "text")
     verified = rt.materialize(texts.repartition(n, *_TASK).sortWithinPartitions(*_TASK).mapInArrow(_verifier(words, threshold), _LINKED), "links")
 
-    found = verified.groupBy("c1", "c2").agg(F.sum("links").alias("links"))
-    # A null doc_id stands as the least long here, which no document should have.
-    edges = verified.select(F.coalesce("rep", F.lit(_NULL)).alias("a"), F.col("least").alias("b"))
-    groups = components(edges)
-    label = classes.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "rep", "copies", F.coalesce("rep", F.lit(_NULL)).alias("node"))
-    label = label.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
-    label = label.join(found.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"), "links"), (F.col("d1") == F.col("f1")) & (F.col("d2") == F.col("f2")), "left")
-    label = label.select("d1", "d2", "rep", "copies", F.coalesce("component", "node").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
-    out = signed.select("doc_id", "c1", "c2").join(label, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
-    group = F.when(F.col("group") != _NULL, F.col("group"))
-    return out.select("doc_id", group.alias("class_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("rep").alias("copy_id"), "copies")
+    found = verified.groupBy(F.col("node").alias("f_node")).agg(F.sum("links").alias("links"))
+    groups = components(verified.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "g_node")
+    heads = classes.select("node", "head").join(groups, F.col("node") == F.col("g_node")).groupBy(F.col("component").alias("of")).agg(F.min("head").alias("first"))
+    groups = groups.join(heads, F.col("component") == F.col("of")).select("g_node", "first")
+    label = classes.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "head", "copies", "node").join(groups, F.col("node") == F.col("g_node"), "left")
+    label = label.join(found, F.col("node") == F.col("f_node"), "left")
+    label = label.select("d1", "d2", "head", "copies", F.coalesce("first", "head").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = signed.select("doc_id", "t1", "t2", "c1", "c2").join(label, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")))
+    return out.select(
+        "doc_id",
+        F.col("first.doc_id").alias("class_id"),
+        (F.col("links") + F.col("copies") - 1).alias("n_links"),
+        F.col("head.doc_id").alias("copy_id"),
+        "copies",
+        "t1",
+        "t2",
+        F.col("first.t1").alias("w1"),
+        F.col("first.t2").alias("w2"),
+    )
+
+
+def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (doc_id, class_id, n_links, copy_id, copies) for each document.
+
+    ``class_id`` is the least doc_id that links lead to, the same for all near
+    duplicates of each other; ``n_links`` counts the other documents at or above
+    the threshold, copies included; ``copy_id`` is the least doc_id with the same
+    n-grams and ``copies`` their number.
+    """
+    return _grouped(docs, words, threshold, recall, id_col, text_col).select("doc_id", "class_id", "n_links", "copy_id", "copies")
 
 
 def representatives(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near duplicates: of each group the row with the least doc_id stays."""
-    joined = rt.materialize(join(docs, words, threshold, recall, id_col, text_col), "groups")
-    (name,) = rt.unused(docs, "gone")
-    gone = joined.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct()
+    """docs without near duplicates: of each group one row with the least doc_id stays,
+    of a group without any doc_id one row."""
+    joined = rt.materialize(_grouped(docs, words, threshold, recall, id_col, text_col), "groups")
+    k1, k2, g1, g2 = rt.unused(docs, "row1", "row2", "gone1", "gone2")
+    gone = joined.where((F.col("t1") != F.col("w1")) | (F.col("t2") != F.col("w2"))).select(F.col("t1").alias(g1), F.col("t2").alias(g2)).distinct()
+    again = joined.where("copies > 1").groupBy("t1", "t2").count().where("count > 1").select(F.col("t1").alias(g1), F.col("t2").alias(g2))
+    repeats = again.count()
+    listed = gone.unionByName(again) if repeats else gone
     # What is certainly no duplicate stays where it is; the rest meets the list by shuffle.
-    unsure, sure = _sieve.split(docs, F.col(id_col).cast("long"), gone, name, gone.count())
-    kept = unsure.join(gone, unsure[id_col].cast("long").eqNullSafe(gone[name]), "left_anti").unionByName(sure)
-    if joined.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    return kept
+    unsure, sure = _sieve.split(_keyed(docs, id_col, text_col, k1, k2), F.col(k1), listed, g1, gone.count() + repeats)
+    if repeats:
+        unsure = unsure.dropDuplicates([k1, k2])
+    kept = unsure.join(gone, (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2)), "left_anti")
+    return kept.unionByName(sure).drop(k1, k2)

@@ -137,3 +137,27 @@ def test_representatives(docs):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == want
     twice = nj.representatives(docs(rows + rows[:5]).withColumn("gone", F.lit(1)))
     assert sorted(r.doc_id for r in twice.collect()) == sorted(want)
+
+
+def _near(text, k):
+    return text.replace(f"{text.split()[0][0]}{k} ", "x ")
+
+
+def test_null_and_repeated_ids_do_not_link(docs):
+    """Rows of no doc_id, or of one doc_id, are as separate as their texts."""
+    a, b, c, e, f = (" ".join(f"{x}{i}" for i in range(100)) for x in "abcef")
+    rows = [(5, a), (None, _near(a, 50)), (9, b), (None, _near(b, 50)), (None, "clean text without an id"), (2, c), (None, c), (7, c), (7, "a text of its own under id seven"), (None, e), (None, _near(e, 50)), (8, f), (8, _near(f, 50))]
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links, str(r.copy_id), r.copies) for r in nj.join(docs(rows)).collect())
+    one, two = ("None", "None", 0, "None", 1), ("7", "7", 0, "7", 1)
+    near = [("5", "5", 1, "5", 1), ("None", "5", 1, "None", 1), ("9", "9", 1, "9", 1), ("None", "9", 1, "None", 1), ("None", "None", 1, "None", 1), ("None", "None", 1, "None", 1), ("8", "8", 1, "8", 1), ("8", "8", 1, "8", 1)]
+    assert got == sorted([one, two, *near, *((i, "2", 2, "2", 3) for i in ("2", "None", "7"))])
+
+
+def test_representatives_of_null_and_repeated_ids(docs):
+    a, b, e = (" ".join(f"{x}{i}" for i in range(100)) for x in "abe")
+    first, second, seven = "clean text without an id", "another clean text without any id", "a text of its own under id seven"
+    rows = [(2, a), (None, a), (7, a), (7, seven), (None, first), (None, second), (None, second), (5, b), (None, _near(b, 50)), (None, e), (None, _near(e, 50))]
+    kept = [(r.doc_id, r.text) for r in nj.representatives(docs(rows)).collect()]
+    (left,) = [k for k in kept if k[1] in (e, _near(e, 50))]
+    kept.remove(left)
+    assert left[0] is None and sorted(kept, key=str) == sorted([(2, a), (7, seven), (None, first), (None, second), (5, b)], key=str)
