@@ -48,12 +48,20 @@ TEMPLATES = {
 SHINGLE = 3
 CONTAINMENT = 0.8
 RECALL = 0.999
-#: Half window sizes in words; a template belongs to the least that holds it.
+#: Half window sizes in words; a template belongs to the least that holds it, and
+#: ``sizes_for`` goes on by quarters to the longest template.
 SIZES = (3, 4, 5, 6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 94, 118, 148, 185, 232, 290)
 #: Beyond these, templates are joined by shuffle, and there are no triggers.
 MAX_SMALL_TEMPLATES, MAX_TRIGGERS = 2000, 64
 
 
+def sizes_for(longest: int) -> list[int]:
+    out = list(SIZES)
+    while out[-1] < longest:
+        out.append(out[-1] * 5 // 4)
+    return out
+
+
 def bands_for(recall: float = RECALL, containment: float = CONTAINMENT) -> int:
     """Bands of one row that meet the recall at the least similarity of a match and its window."""
     # A template of one shingle in a window of four; a longer one, matched at the
@@ -123,15 +131,16 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     spark = docs.sparkSession
     rt.prepare(spark)
     bands = bands_for(recall, containment)
-    given = (templates if templates is not None else builtin_templates(spark)).select("license_id", words_of(F.col("template")).alias("words")).where(F.size("words").between(SHINGLE, SIZES[-1]))
+    given = (templates if templates is not None else builtin_templates(spark)).select("license_id", words_of(F.col("template")).alias("words")).where(F.size("words") >= SHINGLE)
+    sizes = sizes_for(given.agg(F.max(F.size("words"))).first()[0] or 0)
     head = given.select("words").limit(MAX_SMALL_TEMPLATES + 1).collect()
     small = len(head) <= MAX_SMALL_TEMPLATES
     marks = triggers([r.words for r in head], containment) if small else []
     gated = 0 < len(marks) <= MAX_TRIGGERS
-    half = F.array_min(F.filter(F.array(*map(F.lit, SIZES)), lambda s: s >= F.size("words")))
+    half = F.array_min(F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= F.size("words")))
     wanted = given.select("license_id", half.alias("t_half"), _shingles(F.col("words")).alias("t_shingles"))
     keys = wanted.select("*", F.posexplode(_signature(F.col("t_shingles"), bands)).alias("t_band", "t_value"))
-    used = sorted({next(s for s in SIZES if s >= len(r.words)) for r in head}) if small and head else list(SIZES)
+    used = sorted({next(s for s in sizes if s >= len(r.words)) for r in head}) if small and head else sizes
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))

@@ -93,3 +93,16 @@ def test_triggers_cover_matches(containment):
 def test_plan_has_no_python(docs):
     plan = ls.scan(docs([(1, "x")]).select("doc_id", F.upper("text").alias("text")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|InArrow", plan)
+
+
+@pytest.mark.parametrize("length", [291, 700, 3000])
+def test_templates_of_any_length(docs, length):
+    """A full license text is found whole, and its halves are not."""
+    text = " ".join(f"clause{i * 7919 % 1009} term{i}" for i in range(length // 2 + 1)).split()[:length]
+    filler = FILLER.split() * 40
+    rows = [(0, " ".join(text)), (1, " ".join(filler + text + filler)), (2, " ".join(text[: length // 2] + filler)), (3, FILLER)]
+    rows.append((4, " ".join(filler[:500] + text[:100] + ["edited"] + text[100:])))
+    given = docs([(0, "x")]).select(F.lit("long").alias("license_id"), F.lit(" ".join(text)).alias("template"))
+    got = scanned(docs(rows), given)
+    assert got.keys() == {(0, "long"), (1, "long"), (4, "long")}
+    assert got[0, "long"][0] == got[1, "long"][0] == 1.0 and got[4, "long"][0] >= ls.CONTAINMENT
