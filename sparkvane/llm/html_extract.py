@@ -2,10 +2,12 @@
 
 A page becomes a small DOM.  Every node gets its characters per tag, adjusted
 for characters and tags inside links against those of the whole body; the node
-with the largest sum of its children's densities is taken.  The lowest density
-on the way from the body to that node is the threshold: the subtree grows to
-an ancestor as long as that ancestor reaches it and adds text of its own, and
-to the article or main element around it.  Page furniture (menus, headers,
+with the largest sum of its children's densities is taken whole.  The lowest
+density on the way from the body to that node is the threshold: of what else
+hangs on that way, nodes that reach it stay, each with the densest subtree below
+it, and so do first-level headings and the way's own running text.  An article or
+main element overrides that: the one around the densest subtree, or else the one
+that is at least half of it, is the text.  Page furniture (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
 is cut by element, role and class before that.
 
@@ -222,12 +224,51 @@ def select(root: _Node) -> _Node | None:
         inner = [n for n in order if n.tag == tag and n.chars * 2 >= best.chars and _within(n, best)]
         if around is not None or inner:
             return around if around is not None else max(inner, key=lambda n: n.chars)
-    threshold = min(dense[id(x)] for x in path)
-    for up in path[1:]:
-        if up is body or dense[id(up)] < threshold or up.tag in ("html", "body"):
-            break
-        best = up
-    return best
+    _prune(body, order, path, dense)
+    return body
+
+
+def _prune(body: _Node, order: list[_Node], path: list[_Node], dense: dict[int, float]) -> None:
+    """Cut all below body but the densest subtree (path's first) and what reaches the path's threshold."""
+    threshold, way = min(dense[id(x)] for x in path), {id(x) for x in path}
+    top: dict[int, tuple[float, _Node]] = {}  # of each node, the largest sum in its subtree
+    for n in reversed(order):
+        kids = [k for k in n.kids if not k.junk]
+        own = sum(dense[id(k)] for k in kids), n
+        top[id(n)] = max([own, *(top[id(k)] for k in kids)], key=lambda x: x[0])
+    whole, partial, stack = {id(path[0])}, set(way), [body]
+
+    def keep(n: _Node) -> None:
+        whole.add(id(n))
+        while n is not body and n.parent is not None and id(n.parent) not in partial:
+            n = n.parent
+            partial.add(id(n))
+
+    while stack:
+        n = stack.pop()
+        if id(n) in whole:
+            continue
+        if id(n) not in way:
+            if n.tag == "h1":
+                keep(n)
+                continue
+            if n.chars and dense[id(n)] >= threshold:
+                keep(top[id(n)][1])
+            elif n.tag not in ("header", "hgroup"):
+                continue
+        kids = [k for k in n.kids if not k.junk]
+        inline = [k for k in kids if k.tag not in BLOCK]
+        if sum(len("".join(x.split())) for x in n.parts if isinstance(x, str)) > sum(k.link_chars for k in inline):
+            for k in inline:  # a part of the node's own running text
+                keep(k)
+        stack += kids
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        for k in n.kids if id(n) not in whole else ():
+            if id(k) not in whole and id(k) not in partial:
+                k.junk = True
+            stack.append(k)
 
 
 def _within(n: _Node, top: _Node) -> bool:

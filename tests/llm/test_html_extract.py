@@ -112,3 +112,22 @@ def test_driver_pages_give_their_article(spark, sf_dir):
     for r in pages.collect():
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         assert got[r.page_id] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+PARAS = [f"Paragraph {i} has some running text in it, more than a teaser of the front page would." for i in range(8)]
+
+
+@pytest.mark.parametrize("teaser", ["Short teaser {}", "<a href='/{}'>Entry with a link</a> and few words"])
+@pytest.mark.parametrize("wrap", ["<div id=wrap>%s</div>", "<div id=page><div class=wrap>%s</div></div>"])
+def test_densest_subtree_decides_inside_one_wrapper(wrap, teaser):
+    teasers = "<div class=c1>" + "".join(f"<p>{teaser.format(i)}</p>" for i in range(12)) + "</div>"
+    text = "<div class=c2>" + "".join(f"<p>{p}</p>" for p in PARAS) + "</div>"
+    for inside in (teasers + text, text + teasers, teasers + text + teasers):
+        assert main_text(f"<html><body>{wrap % inside}</body></html>") == " ".join(PARAS)
+
+
+def test_heading_and_dense_siblings_of_the_densest_subtree_stay():
+    text = "<div class=c2>" + "".join(f"<p>{p}</p>" for p in PARAS[:5]) + "</div><div class=c3>" + "".join(f"<p>{p}</p>" for p in PARAS[5:]) + "</div>"
+    teasers = "<div class=c1>" + "".join(f"<p><a href='/{i}'>Entry {i}</a></p>" for i in range(12)) + "</div>"
+    page = f"<html><body><div id=wrap><h1>Title</h1>{teasers}{text}</div></body></html>"
+    assert main_text(page) == " ".join(["Title", *PARAS])
