@@ -58,47 +58,72 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_BARE = re.compile(r"=\s*[^\s\"'>]+/\Z|=\s*/\Z")  # a slash that belongs to a value without quotes
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _LAYOUT = frozenset("has with without no not is".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names that are furniture in an article too; the other JUNK can be what a section is about.
+_FIRM = frozenset(
+    "ad ads adv advert adverts adsense adsbygoogle sponsored sidebar sidebars nav navbar topnav subnav breadcrumb breadcrumbs masthead footer footers cookie cookies gdpr "
+    "popup modal overlay newsletter subscribe signup login comment comments commentlist commenter disqus respond reply replies widget widgets toolbar pagination pager "
+    "searchform advertisement advertisements".split()
+)
+_READERS = frozenset("comment comments commentlist commenter disqus respond reply replies".split())
+#: Of a named section's characters, the share in links that marks furniture; and the running text by which a class is overruled.
+LINK_SHARE, RUNNING = 0.4, 100
 _ALWAYS = frozenset("comment comments commentlist sidebar footer advert adverts advertisement related share newsletter breadcrumb breadcrumbs navigation disqus replies".split())
 
 
 class _Node:
-    __slots__ = ("chars", "hidden", "junk", "kids", "link_chars", "link_tags", "parent", "parts", "tag", "tags")
+    __slots__ = ("chars", "hidden", "ids", "inside", "junk", "kids", "link_chars", "link_tags", "names", "parent", "parts", "tag", "tags")
 
-    def __init__(self, tag: str, parent: _Node | None, junk: bool = False):
-        self.tag, self.parent, self.junk, self.hidden = tag, parent, junk, False
+    def __init__(self, tag: str, parent: _Node | None):
+        self.tag, self.parent, self.junk, self.hidden, self.inside = tag, parent, False, False, False
+        self.names: set[str] = set()  # words of ids and classes by which it is furniture
+        self.ids: list[str] | None = None  # the id, if that alone made it furniture
         self.parts: list = []  # strings and child nodes, in page order
         self.kids: list[_Node] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
 
 
-def _is_junk(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: in an article or main element, whose header is the text's own."""
-    if tag in DROPPED or tag == "header" and not inside:
-        return True
-    if not attrs:
-        return False
-    for name, *values in _ATTR.findall(attrs):
+def _judge(n: _Node, attrs: str, inside: bool) -> None:
+    """Mark furniture by element, attributes and names.
+
+    inside: in an article or main element, whose header is the text's own.
+    """
+    tag, n.inside = n.tag, inside
+    n.junk = tag in DROPPED or tag == "header" and not inside
+    by_class = False
+    ids: list[str] = []
+    for name, *values in _ATTR.findall(attrs) if attrs else ():
         value, name = next((v for v in values if v), ""), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDING.search(value):
-            return True
+            n.junk = n.hidden = True
+            return
         if tag in ("html", "body", "main"):
             continue
-        if name == "role" and value.lower() in JUNK_ROLES:
-            return True
-        if name in ("class", "id"):
+        if name == "role" and value.lower() in JUNK_ROLES and tag != "form":
+            n.junk = n.hidden = True
+            return
+        if name in ("class", "id") and tag not in HEADINGS:
             for word in value.split():
                 parts = _NAMES.findall(word)
                 lower = [x.lower() for x in parts]
-                if lower and (lower[0] in JUNK and len(lower) == 1 or not NOT_JUNK.intersection(lower) and (not JUNK.isdisjoint(lower) or "header" in lower and not inside)):
-                    return True
                 # Readers' words and asides to the text stay furniture when named after it: "post-comments", "article-sidebar".
-                if not _LAYOUT.intersection(lower) and not _ALWAYS.isdisjoint(lower):
-                    return True
-    return False
+                if (
+                    lower
+                    and (lower[0] in JUNK and len(lower) == 1 or not NOT_JUNK.intersection(lower) and (not JUNK.isdisjoint(lower) or "header" in lower and not inside))
+                    or not _LAYOUT.intersection(lower)
+                    and not _ALWAYS.isdisjoint(lower)
+                ):
+                    n.names.update(lower)
+                    by_class |= name == "class"
+                    if name == "id":
+                        ids = lower
+    if n.names and not n.junk:
+        n.junk, n.ids = True, None if by_class else ids
 
 
 def _own_text(n: _Node) -> bool:
@@ -112,6 +137,55 @@ def _own_text(n: _Node) -> bool:
     return False
 
 
+def _counts(n: _Node) -> tuple[int, int, int, str]:
+    """Characters, those in links and those in paragraphs outside links, and the words of the first heading."""
+    chars = links = running = 0
+    heading: str | None = None
+    stack: list[tuple] = [(n, n.tag == "a", n.tag == "p", False)]
+    title: list[str] = []
+    while stack:
+        x, link, para, head = stack.pop()
+        if isinstance(x, str):
+            size = len("".join(x.split()))
+            chars, links, running = chars + size, links + size * link, running + size * (para and not link)
+            if head:
+                title.append(x)
+            continue
+        if x.junk and x is not n:
+            continue
+        if x.tag in HEADINGS and heading is None and not head:
+            head, heading = True, ""
+        stack += [(p, link or x.tag == "a", para or x.tag == "p", head) for p in reversed(x.parts)]
+    return chars, links, running, "".join(title)
+
+
+def _own_section(n: _Node) -> bool:
+    """Whether what is furniture by its name is a section of the text: its id is its heading's
+    words, or the name can be what a section is about; in both cases its text is not in links."""
+    firm = not _FIRM.isdisjoint(n.names)
+    if n.tag not in BLOCK or firm and n.ids is None:
+        return False
+    chars, links, running, title = _counts(n)
+    if not chars or links >= LINK_SHARE * chars:
+        return False
+    if n.ids is None:
+        return n.inside and running >= RUNNING
+    titled = n.ids == [x.lower() for x in _NAMES.findall(title)]
+    return titled and _READERS.isdisjoint(n.names) or n.inside and not firm and n.tag != "p"
+
+
+def _holds_page(n: _Node, others: int) -> bool:
+    """Whether a form is around the page's text: its heading, article or main element, or more
+    characters than stand outside forms."""
+    stack = list(n.kids)
+    while stack:
+        k = stack.pop()
+        if k.tag in HOLDERS or k.tag == "h1":
+            return True
+        stack += [x for x in k.kids if not x.junk or x.tag == "header"]
+    return _counts(n)[0] > others
+
+
 def parse(page: str) -> _Node:
     root = _Node("html", None)
     node, at = root, 0
@@ -155,10 +229,11 @@ def parse(page: str) -> _Node:
         inside, up = False, node
         while up is not None and not inside:
             inside, up = up.tag in HOLDERS, up.parent
-        child = _Node(tag, node, _is_junk(tag, m["attr"] or "", inside))
+        child = _Node(tag, node)
+        _judge(child, m["attr"] or "", inside)
         node.parts.append(child)
         node.kids.append(child)
-        if tag not in VOID and not (m["attr"] or "").endswith("/"):
+        if tag not in VOID and (not (m["attr"] or "").endswith("/") or _BARE.search(m["attr"])):
             node = child
     add(page[at:])
     return root
@@ -167,9 +242,14 @@ def parse(page: str) -> _Node:
 def _measure(root: _Node) -> list[_Node]:
     """Count characters and tags, without furniture; the nodes that count, parents first."""
     order, stack = [], [root]
-    every = [root]
+    every, others = [root], -1
     for n in every:
-        if n.junk and n.tag not in DROPPED and n.tag != "header" and not n.hidden and _own_text(n):
+        if not n.junk or n.hidden:
+            pass
+        elif n.tag == "form":
+            others = _counts(root)[0] if others < 0 else others
+            n.junk = not _holds_page(n, others)
+        elif n.tag not in DROPPED and n.tag != "header" and (_own_text(n) or _own_section(n)):
             n.junk = False
         every += n.kids
     while stack:

@@ -131,3 +131,41 @@ def test_heading_and_dense_siblings_of_the_densest_subtree_stay():
     teasers = "<div class=c1>" + "".join(f"<p><a href='/{i}'>Entry {i}</a></p>" for i in range(12)) + "</div>"
     page = f"<html><body><div id=wrap><h1>Title</h1>{teasers}{text}</div></body></html>"
     assert main_text(page) == " ".join(["Title", *PARAS])
+
+
+OWN = [
+    "<section id='discussion'><h2>Discussion</h2><p>The figures agree with the first trial.</p></section>",
+    "<section id='discussion'><p>The figures agree with the first trial.</p></section>",
+    "<section id='related-work'><h2>Related work</h2><p>Others have counted before, with <a href=/x>one table</a> less.</p></section>",
+    "<h2 id='Legal_status'>Legal status</h2><p>It is allowed.</p>",
+    "<h2 class='section-header share'>Market share</h2><p>It grows.</p>",
+    "<div id='social-effects'>Social effects are small and late.</div>",
+    "<p title='the hidden cost'>Costs are <b data-x='id=sidebar class=ad'>high</b>.</p>",
+    "<section aria-label='Hidden figures'><p>They were found by hand.</p></section>",
+]
+
+
+@pytest.mark.parametrize("piece", OWN)
+def test_sections_of_the_article_stay(piece):
+    import re
+
+    page = ARTICLE.replace("</article>", piece + "</article>")
+    assert main_text(f"<html><body>{page}</body></html>") == TEXT + " " + " ".join(re.sub(r"</?(?:h2|p|section|div)[^>]*>", " ", re.sub(r"</?[ab]\b[^>]*>", "", piece)).split())
+
+
+@pytest.mark.parametrize("piece", [
+    "<section id='related'><h2>Related</h2><ul><li><a href=/a>One more article</a><li><a href=/b>And another</a></ul></section>",
+    "<section id='comments'><h2>Comments</h2><p>I liked it, and I will say so at some length in here.</p></section>",
+    "<p hidden>Not shown</p>", "<p class=x HIDDEN id=y>Not shown</p>", "<div id='social'><a href=/s>Share this</a></div>",
+])
+def test_furniture_of_the_article_still_goes(piece):
+    assert main_text(f"<html><body>{ARTICLE.replace('</article>', piece + '</article>')}</body></html>") == TEXT
+
+
+@pytest.mark.parametrize("inside", [ARTICLE, ARTICLE.replace("article>", "div>"), "<div><p>" + PARAS[0] + "</p><p>" + PARAS[1] + "</p></div>"])
+def test_a_form_around_the_page_passes(inside):
+    text = TEXT if "Title" in inside else f"{PARAS[0]} {PARAS[1]}"
+    form = f"<form method=post action='./x.aspx'><input type=hidden name=s value=1><nav><a href=/>Home</a></nav>{inside}<form><label>Mail</label><input></form></form>"
+    page = f"<html><body>{form}</body></html>".replace("<form><label>Mail</label><input></form>", "")
+    assert main_text(page) == text
+    assert main_text(f"<html><body>{ARTICLE}<form hidden>{inside}</form></body></html>") == TEXT
