@@ -9,9 +9,10 @@ bands that reach the bound are aligned, inside the band only.
 The benchmark is dealt with in blocks of a fixed size, each broadcast, against
 all documents; documents are never shuffled.
 
-Defined results: case is folded per character; null texts are empty; a null
-item, or one shorter than q characters, matches nothing; where an item matches
-at several places the one with the fewest edits counts, then the first.
+Defined results: case is folded per character; null texts are empty; a null or
+blank item matches nothing, one shorter than q characters without edits only;
+where an item matches at several places the one with the fewest edits counts,
+then the first.  Items without an id are not reported, but ``clean`` heeds them.
 """
 
 from __future__ import annotations
@@ -119,6 +120,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE):
         self.q = q
         kept = [(i, folded(t)) for i, t in items if t is not None and len(t) >= q]
+        self.short = [(i, folded(t)) for i, t in items if t is not None and len(t) < q and t.strip()]
         self.ids = [i for i, _ in kept]
         self.texts = [t for _, t in kept]
         self.codes = [codes(t) for t in self.texts]
@@ -139,6 +141,10 @@ class Index:
 
     def find(self, texts: list[str]) -> list[list[Found]]:
         out: list[list[Found]] = [[] for _ in texts]
+        for t, found in zip(texts, out, strict=True) if self.short else ():
+            low = folded(t)
+            found += [Found(i, 0, start) for i, x in self.short if (start := low.find(x)) >= 0]
+            found.sort(key=lambda f: f.item_id)
         if not self.ids:
             return out
         group, size = [], 0
@@ -230,10 +236,11 @@ def _index(key: str, items: list[tuple[int, str]], q: int, rate: float) -> Index
     return _built[key]
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size; the driver holds one at a time."""
+def _blocks(benchmark: DataFrame, block_chars: int, unnamed: bool = False) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded size; the driver holds one at a time.  unnamed: those without an id too, as -1."""
     block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("t is not null and i is not null").toLocalIterator():
+    own = F.col("item_id").cast("long")
+    for r in benchmark.select((F.coalesce(own, F.lit(-1)) if unnamed else own).alias("i"), F.col("text").alias("t")).where("t is not null and i is not null").toLocalIterator():
         if block and size + len(r.t) > block_chars:
             yield block
             block, size = [], 0
@@ -278,7 +285,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_
     spark = docs.sparkSession
     rt.prepare(spark)
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, block_chars):
+    for block in _blocks(benchmark, block_chars, unnamed=True):
         docs = docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(block), at, q, rate), docs.schema)
     return docs
 

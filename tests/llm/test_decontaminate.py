@@ -102,3 +102,11 @@ def test_a_passage_that_every_document_has(docs, benchmark):
     item = "a passage that every document of this corpus holds somewhere"
     found = dc.find(docs([(i, f"{i} " * (i % 7) + item + " tail") for i in range(300)]), benchmark([(0, item)]))
     assert found.count() == 300
+
+
+def test_items_without_an_id_and_short_items(docs, benchmark):
+    rows = [(0, "it holds the passage that nobody numbered, whole"), (1, "it holds Xq7-z in the middle"), (2, "it holds xq7z only"), (3, "")]
+    table = benchmark([(None, "passage that nobody numbered"), (5, "xq7-Z"), (6, ""), (7, "  "), (8, "an ordinary passage")])
+    assert sorted(r.doc_id for r in dc.clean(docs(rows), table).collect()) == [2, 3]
+    assert [tuple(r) for r in dc.find(docs(rows), table).collect()] == [(1, 5, 0, 9)]
+    assert [[f.item_id for f in x] for x in dc.Index([(5, "xq7"), (4, "a passage of some length")]).find(["xq7 a passage of some length"])] == [[4, 5]]
