@@ -38,3 +38,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         fs.deleteOnExit(path)
         sc._sparkvane_scratch = folder
     return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
