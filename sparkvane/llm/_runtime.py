@@ -3,35 +3,84 @@ batch sizes, and streaming over sorted partitions."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.scratch import scratch_path
+from ..sources.scratch import discard, scratch_path
 from ..sources.shipping import ship
 
-#: Rows and bytes of one Arrow batch; whatever a text's length, a Python worker
-#: holds a few of these batches and no more.
+#: Rows and bytes that a Python worker takes at a time; whatever a text's length, it
+#: holds one of Spark's Arrow batches and what it makes of such a slice.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session and make the package importable on executors."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Make the package importable on executors; the session's options stay as they are."""
     ship(spark)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def small(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded rows and bytes; a row above the bound is a slice."""
+    for b in batches:
+        if b.num_rows <= rows and b.nbytes <= size:
+            yield b
+            continue
+        weight = np.zeros(b.num_rows, np.int64)
+        for c in b.columns:
+            for wide, kinds in ((np.int32, ("string", "binary", "list")), (np.int64, ("large_string", "large_binary", "large_list"))):
+                if any(getattr(pa.types, f"is_{k}")(c.type) for k in kinds):
+                    ends = np.frombuffer(c.buffers()[1], wide, len(c) + 1, c.offset * np.dtype(wide).itemsize)
+                    weight += np.diff(ends) * (8 if kinds[2] in str(c.type) else 1)
+        ends, at = np.cumsum(weight), 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            n = max(1, min(rows, int(np.searchsorted(ends, before + size, side="right")) - at))
+            yield b.slice(at, n)
+            at += n
+
+
+_open = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside, in this thread, go when the block ends."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        gone, _open.paths = _open.paths, outer
+        for path in gone:
+            discard(spark, path)
+
+
+def materialize(df: DataFrame, label: str, inside: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a
-    lost executor costs nothing that was done before."""
+    lost executor costs nothing that was done before.
+
+    The table goes with the enclosing ``passing`` block, unless inside is false.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if inside and getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sparkvane_path = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Delete a materialized table whose successor is written."""
+    path = getattr(df, "_sparkvane_path", None)
+    if path:
+        discard(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:

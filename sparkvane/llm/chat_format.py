@@ -154,7 +154,7 @@ def format_windows(
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
 
-        for b in batches:
+        for b in rt.small(batches):
             out: list[tuple] = []
             texts = b.column(3).to_pylist()
             for c, role, text, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), texts, count(texts), strict=True):
@@ -203,7 +203,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         def row() -> tuple:
             return conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5]
 
-        for b in batches:
+        for b in rt.small(batches):
             out = []
             for c, text, repeated, starts, ends in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
                 if c != conv:

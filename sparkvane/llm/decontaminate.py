@@ -6,8 +6,13 @@ diagonals (text position minus passage position).  Shared q-grams are counted
 in bands of 2(k + 1) diagonals that overlap by half, so one band sees them all;
 bands that reach the bound are aligned, inside the band only.
 
-The benchmark is dealt with in blocks of a fixed size, each broadcast, against
-all documents; documents are never shuffled.
+The benchmark is dealt with in blocks of a fixed size, broadcast, against all
+documents; documents are never shuffled.  One pass over the documents takes
+all blocks up to PASS_CHARS: for every Arrow batch a worker goes through the
+blocks and holds the index of a few.  A larger benchmark takes further passes.
+
+Pairs of equal q-grams are made a slice at a time, so a text and a passage that
+repeat one gram (rulers, padding, tables) cost time, not memory.
 
 Defined results: case is folded per character; null texts are empty; a null or
 blank item matches nothing, one shorter than q characters without edits only;
@@ -31,6 +36,8 @@ from . import _runtime as rt
 Q = 8
 EDIT_RATE = 0.1
 BLOCK_CHARS = 2_000_000  # of the benchmark in one broadcast; an item may exceed it alone
+PASS_CHARS = 32_000_000  # of the benchmark in one pass over the documents
+PAIRS = 1 << 21  # of equal q-grams held at a time
 _GAP = 0x110000  # between texts: no character
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD1B54A32D192ED03)
@@ -107,6 +114,54 @@ def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int) ->
     return int(cost[at]), max(0, int(origin[at]))
 
 
+class _Tally:
+    """Sums of counts by number, in memory that follows the different numbers."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if not len(keys):
+            return
+        k, n = self._sums(keys, counts)
+        if len(self.keys):
+            k, n = self._sums(np.concatenate([self.keys, k]), np.concatenate([self.counts, n]))
+        self.keys, self.counts = k, n
+
+    @staticmethod
+    def _sums(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        low = int(keys.min())
+        if int(keys.max()) - low <= 4 * len(keys):  # close together: no sort
+            n = np.bincount(keys - low, counts)
+            k = np.flatnonzero(n)
+            return k + low, n[k].astype(np.int64)
+        k, back = np.unique(keys, return_inverse=True)
+        return k, np.bincount(back, counts, len(k)).astype(np.int64)
+
+
+def _slices(counts: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges whose counts add up to at most PAIRS, or of one entry."""
+    ends, out, a = np.cumsum(counts), [], 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, (int(ends[a - 1]) if a else 0) + PAIRS, side="right")))
+        out.append((a, b))
+        a = b
+    return out
+
+
+def _expanded(firsts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, owner) of all entries firsts[i], firsts[i] + 1, ..., counts[i] of them."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner] + firsts[owner], owner
+
+
+def _among(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in sorted_keys, whether it is there) of keys."""
+    k = np.searchsorted(sorted_keys, keys)
+    k[k == len(sorted_keys)] = 0
+    return k, sorted_keys[k] == keys
+
+
 @dataclass
 class Found:
     item_id: int
@@ -131,11 +186,18 @@ class Index:
         grams = [gram_hashes(c, q) for c in self.codes]
         h = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        self.pos = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        self.hash, self.first = np.unique(h[order], return_index=True)
-        self.first = np.append(self.first, len(h))
-        self.shift = np.uint64(64 - max(10, min(26, int(len(h) * 32).bit_length())))
+        self.item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int32)
+        self.pos = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])[order] if grams else np.zeros(0, np.int32)
+        # Entries are sorted by q-gram, item and place; a run is one item's share of one q-gram.
+        h = h[order]
+        new_hash = np.ones(len(h), bool)
+        new_hash[1:] = h[1:] != h[:-1]
+        new_run = new_hash.copy()
+        new_run[1:] |= self.item[1:] != self.item[:-1]
+        self.hash, self.run = h[new_hash], np.flatnonzero(new_run)
+        self.run_item, self.run_size = self.item[self.run], np.diff(np.append(self.run, len(h)))
+        self.first = np.append(np.flatnonzero(new_hash[self.run]), len(self.run))
+        self.shift = np.uint64(64 - max(10, min(24, int(len(h) * 8).bit_length())))
         self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
         self.seen[(self.hash * _SPREAD) >> self.shift] = True
 
@@ -174,41 +236,75 @@ class Index:
         same = self.hash[where] == h[at]
         at, where = at[same], where[same]
         doc = np.searchsorted(begins, at, side="right") - 1
-        counts = self.first[where + 1] - self.first[where]
-        total = int(counts.sum())
-        if not total:
-            return
-        doc, at = np.repeat(doc, counts), np.repeat(at - begins[doc], counts)
-        entry = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[where], counts)
-        item, pos = self.item[entry], self.pos[entry]
+        at = at - begins[doc]
+        items = len(self.ids)
+
+        def shares(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(document and item as one number, run, place in the text) of shared q-grams."""
+            run, owner = _expanded(self.first[where[a:b]], counts[a:b])
+            return doc[a:b][owner] * items + self.run_item[run], run, at[a:b][owner]
+
         # A pair with too few shared q-grams in all has too few in every band.
-        pair = doc * len(self.ids) + item
-        space = len(group) * len(self.ids)
-        if space <= 1 << 24:
-            enough = np.bincount(pair, minlength=space)[pair] >= self.needed[item]
-        else:
-            _, back, n = np.unique(pair, return_inverse=True, return_counts=True)
-            enough = n[back] >= self.needed[item]
-        doc, item, pos, diagonal = doc[enough], item[enough], pos[enough], (at - pos)[enough]
-        if not len(doc):
+        counts = self.first[where + 1] - self.first[where]
+        total, slices = _Tally(), _slices(counts)
+        held = shares(*slices[0]) if len(slices) == 1 else None
+        for x in slices:
+            pair, run, _ = held or shares(*x)
+            total.add(pair, self.run_size[run])
+        enough = total.keys[total.counts >= self.needed[total.keys % items]]
+        best: dict[tuple[int, int], Found] = {}
+        if int(total.counts.sum()) > PAIRS:  # before many pairs are made, settle what occurs as it is
+            for d, i in zip((enough // items).tolist(), (enough % items).tolist(), strict=True):
+                if (start := low[d].find(self.texts[i])) >= 0:
+                    best[d, i] = Found(self.ids[i], 0, start)
+            enough = enough[[(p // items, p % items) not in best for p in enough.tolist()]]
+        if len(enough):
+            self._align(enough, slices, held or shares, own, low, best)
+        for (d, _), f in best.items():
+            out[group[d]].append(f)
+        for i in group:
+            out[i].sort(key=lambda f: f.item_id)
+
+    def _align(self, enough: np.ndarray, slices: list[tuple[int, int]], shares, own: list[np.ndarray], low: list[str], best: dict[tuple[int, int], Found]) -> None:
+        """Count the shared q-grams of these pairs by band and align where the bound is reached."""
+        items, longest = len(self.ids), int(self.size.max())
+        most = int((max(len(c) for c in own) + longest) // (self.edits.min() + 1)) + 3
+
+        def banded(x: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Of a slice, a bounded number of equal q-grams at a time: both bands, and the place in the item."""
+            pair, run, at = shares(*x) if callable(shares) else shares
+            ok = _among(enough, pair)[1]
+            pair, run, at = pair[ok], run[ok], at[ok]
+            for a, b in _slices(self.run_size[run]):
+                entry, owner = _expanded(self.run[run[a:b]], self.run_size[run[a:b]])
+                pos, one = self.pos[entry].astype(np.int64), pair[a:b][owner]
+                item = one % items
+                band = one * most + (at[a:b][owner] - pos + self.size[item]) // (self.edits[item] + 1)  # not negative
+                yield np.concatenate([band + 1, band]), np.concatenate([pos, pos])  # each band and the one before, numbered from 0
+
+        in_band = _Tally()
+        for x in slices:
+            for band, _ in banded(x):
+                in_band.add(band)
+        keys = in_band.keys[in_band.counts >= self.needed[in_band.keys // most % items]]
+        if not len(keys):
             return
-        step = self.edits[item] + 1
-        band = (diagonal + self.size[item]) // step  # not negative
-        most = int(band.max()) + 2
-        pair = (doc * len(self.ids) + item) * most
-        both = np.concatenate([pair + band + 1, pair + band])  # each band and the one before, numbered from 0
-        keys, back, n = np.unique(both, return_inverse=True, return_counts=True)
-        item = keys // most % len(self.ids)
-        reached = (n >= self.needed[item])[back]
         # Where the bound is reached, count each q-gram of the passage once.
-        once = np.unique(np.stack([back[reached], np.concatenate([pos, pos])[reached]], axis=1), axis=0)[:, 0]
-        n = np.bincount(once, minlength=len(keys))
-        keys, item = keys[n >= self.needed[item]], item[n >= self.needed[item]]
-        doc, band = keys // most // len(self.ids), keys % most - 1
-        best: dict[tuple[int, int], Found] = {}
-        for d, i, j in zip(doc.tolist(), item.tolist(), band.tolist(), strict=True):
+        once = _Tally()
+        for x in slices:
+            for band, pos in banded(x):
+                k, ok = _among(keys, band)
+                once.add(k[ok] * longest + pos[ok])
+        n = np.bincount(once.keys // longest, minlength=len(keys))
+        ok = n >= self.needed[keys // most % items]
+        keys, n = keys[ok], n[ok]
+        # Fewer edits than this would have left more q-grams whole.
+        fewest = -(-(self.size[keys // most % items] - self.q + 1 - n) // self.q)
+        where: dict[tuple[int, int], int] = {}
+        for d, i, j, least in zip((keys // most // items).tolist(), (keys // most % items).tolist(), (keys % most - 1).tolist(), fewest.tolist(), strict=True):
             had = best.get((d, i))
-            if had is not None and had.edits == 0:
+            # A band beyond the next one starts later, so it must have fewer edits.
+            if had is not None and (had.edits == 0 or j >= where[d, i] + 2 and least >= had.edits):
                 continue
             k = int(self.edits[i])
             start = low[d].find(self.texts[i])
@@ -218,21 +314,18 @@ class Index:
                 first = j * (k + 1) - int(self.size[i])
                 edits, start = banded_distance(self.codes[i], own[d], first, first + 2 * (k + 1))
             if edits <= k and (had is None or (edits, start) < (had.edits, had.start)):
-                best[d, i] = Found(self.ids[i], edits, start)
-        for (d, _), f in best.items():
-            out[group[d]].append(f)
-        for i in group:
-            out[i].sort(key=lambda f: f.item_id)
+                best[d, i], where[d, i] = Found(self.ids[i], edits, start), j
 
 
 _built: dict[str, Index] = {}
+KEPT = 2  # indexes that a worker holds
 
 
 def _index(key: str, items: list[tuple[int, str]], q: int, rate: float) -> Index:
-    if key not in _built:
-        if len(_built) > 2:
-            _built.clear()
-        _built[key] = Index(items, q, rate)
+    found = _built.pop(key, None)
+    while len(_built) >= KEPT:
+        del _built[next(iter(_built))]
+    _built[key] = found or Index(items, q, rate)
     return _built[key]
 
 
@@ -250,52 +343,73 @@ def _blocks(benchmark: DataFrame, block_chars: int, unnamed: bool = False) -> It
         yield block
 
 
+def _passes(spark, blocks: Iterator[list[tuple[int, str]]], pass_chars: int) -> Iterator[list]:
+    """Broadcast blocks, as many together as one pass over the documents takes."""
+    held, size = [], 0
+    for block in blocks:
+        n = sum(len(t) for _, t in block)
+        if held and size + n > pass_chars:
+            yield held
+            held, size = [], 0
+        held.append((uuid.uuid4().hex, spark.sparkContext.broadcast(block)))
+        size += n
+    if held:
+        yield held
+
+
 FOUND = "doc_id long, item_id long, edits int, start long"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, pass_chars: int = PASS_CHARS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, item_id, edits, start) of every benchmark item in every document."""
     spark = docs.sparkSession
     rt.prepare(spark)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = spark.createDataFrame([], FOUND)
-    for block in _blocks(benchmark, block_chars):
-        run = _finder(spark.sparkContext.broadcast(block), q, rate)
-        out = out.unionByName(chosen.mapInArrow(run, FOUND))
-    return out
-
+    out = None
+    for blocks in _passes(spark, _blocks(benchmark, block_chars), pass_chars):
+        one = chosen.mapInArrow(_finder(blocks, q, rate), FOUND)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], FOUND)
 
-def _finder(block, q: int, rate: float):
-    key = uuid.uuid4().hex
 
+def _finder(blocks: list, q: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(key, block.value, q, rate)
-        for b in batches:
-            found = index.find(rt.texts(b.column(1)))
-            rows = [(d, f.item_id, f.edits, f.start) for d, fs in zip(b.column(0).to_pylist(), found, strict=True) for f in fs]
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "edits", "start"])
+        for whole in batches:
+            for key, block in blocks:
+                index = _index(key, block.value, q, rate)
+                for b in rt.small(iter([whole])):
+                    found = index.find(rt.texts(b.column(1)))
+                    rows = [(d, f.item_id, f.edits, f.start) for d, fs in zip(b.column(0).to_pylist(), found, strict=True) for f in fs]
+                    if rows:
+                        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "edits", "start"])
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS, pass_chars: int = PASS_CHARS, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item; columns as they are."""
     spark = docs.sparkSession
     rt.prepare(spark)
-    at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, block_chars, unnamed=True):
-        docs = docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(block), at, q, rate), docs.schema)
+    at, before = docs.columns.index(text_col), None
+    for n, blocks in enumerate(_passes(spark, _blocks(benchmark, block_chars, unnamed=True), pass_chars)):
+        if n:  # one Python worker at a time: what the last pass kept is written
+            docs = rt.materialize(docs, "clean")
+            rt.drop(before)
+            before = docs
+        docs = docs.mapInArrow(_cleaner(blocks, at, q, rate), docs.schema)
     return docs
 
 
-def _cleaner(block, at: int, q: int, rate: float):
-    key = uuid.uuid4().hex
-
+def _cleaner(blocks: list, at: int, q: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(key, block.value, q, rate)
         for b in batches:
-            yield b.filter(pa.array([not f for f in index.find(rt.texts(b.column(at)))], pa.bool_()))
+            for key, block in blocks:
+                index = _index(key, block.value, q, rate)
+                keep = [not f for part in rt.small(iter([b])) for f in index.find(rt.texts(part.column(at)))]
+                b = b.filter(pa.array(keep, pa.bool_()))
+            yield b
 
     return run

@@ -52,7 +52,7 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rt.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             found = [line_keys(t, min_chars) for t in rt.texts(b.column(2))]
             digests = np.frombuffer(b"".join(xxh3_128_digest(k) for _, keys, _ in found for k in keys), "<i8").reshape(-1, 2)
             own = pa.array(np.repeat(np.arange(b.num_rows), [len(at) for at, _, _ in found]))
@@ -145,7 +145,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = dropped_lines(docs, id_col, text_col, min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             sizes = b.column(2).to_pylist()
             at = [np.unique(x) for x in b.column(3).to_pylist()]
             cols = [b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in at], pa.int32()), pa.array([pack(n, x) for n, x in zip(sizes, at, strict=True)], pa.binary())]
@@ -173,7 +173,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     schema = docs.select(*[F.col(f"`{c}`") for c in own], *[F.lit(0).cast("long").alias(c) for c in added]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             kept, sizes, gone = [], [], []
             for text, keep in zip(rt.texts(b.column(at)), b.column(len(own)).to_pylist(), strict=True):
                 n = text.count("\n") + 1

@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
-        for b in batches:
+        for b in rt.small(batches):
             sets = shingle_sets(rt.texts(b.column(3)), words)
             keys = [digest(s) for s in sets]
             cols = [*b.columns[:3], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]

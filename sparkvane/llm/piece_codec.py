@@ -270,7 +270,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(model)
-        for b in batches:
+        for b in rt.small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), _ids_array([table.encode_bytes(t) for t in rt.texts(b.column(1))])], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -282,7 +282,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(model)
-        for b in batches:
+        for b in rt.small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([table.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -294,7 +294,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load(model)
-        for b in batches:
+        for b in rt.small(batches):
             packed = [table.encode_bytes(t) for t in rt.texts(b.column(1))]
             decoded = [table.decode(np.frombuffer(x, np.int32).tolist()) for x in packed]
             yield pa.RecordBatch.from_arrays([b.column(0), _ids_array(packed), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])

@@ -124,7 +124,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = load(tokenizer), 0
-        for b in batches:
+        for b in rt.small(batches):
             packed = [x + end for x in encoder.encode(rt.texts(b.column(1)))]
             sizes = np.array([len(x) // 4 for x in packed], np.int64)
             ends = np.cumsum(sizes)
@@ -158,7 +158,7 @@ def digests(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of rows as read() gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             lists = b.column(3)
             values, offsets = lists.values.to_numpy().astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]

@@ -7,9 +7,14 @@ the labels apart (likelihood ratio) get a weight and a latent vector, and the
 latent vectors' products carry pairwise interactions that a linear model has
 no place for.  Scoring is one Arrow pass over all texts, without a shuffle.
 
+What the driver sees of the sample is bounded: the label counts of at most
+2**20 buckets, then of each of at most MAX_TRAINING_ROWS rows those of its
+buckets that were chosen, at most MAX_TERMS of them, however long its text.
+
 Defined results: a null text is the empty text and gets the bias alone; rows
-without a label, or with a null label, teach nothing; without any labelled row
-every score is 0.5.
+without a label, or with a null label, teach nothing; of rows with equal doc_id
+one teaches, the one whose text hashes lowest; without any labelled row every
+score is 0.5.
 """
 
 from __future__ import annotations
@@ -95,20 +100,26 @@ def _ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarr
     return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Machine:
-    """Train on documents' bucket sets and 0/1 labels."""
+def choose(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """The buckets that tell the labels apart best, sorted; pos and neg count rows by bucket."""
+    ratio = _ratio(pos, neg, n_pos, n_neg)
+    order = np.lexsort((np.arange(len(ratio)), -ratio))[:MAX_TERMS]
+    strong = int((ratio[order] >= MIN_RATIO).sum())
+    return np.sort(order[: max(strong, min(64, int((ratio > 0).sum())))])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0, terms: np.ndarray | None = None) -> Machine:
+    """Train on documents' bucket sets and 0/1 labels; without terms they are chosen from these rows."""
     labels = labels.astype(np.float64)
     n_pos, n_neg = int(labels.sum()), int(len(labels) - labels.sum())
     if not len(labels) or not n_pos or not n_neg:
         bias = 0.0 if not len(labels) else (4.0 if n_pos else -4.0)
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, RANK)))
     size = 1 << BUCKET_BITS
-    pos = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=size)
-    neg = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if not y]), minlength=size)
-    ratio = _ratio(pos, neg, n_pos, n_neg)
-    order = np.lexsort((np.arange(size), -ratio))[:MAX_TERMS]
-    strong = int((ratio[order] >= MIN_RATIO).sum())
-    terms = np.sort(order[: max(strong, min(64, int((ratio > 0).sum())))])
+    if terms is None:
+        pos = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if y]), minlength=size)
+        neg = np.bincount(np.concatenate([r for r, y in zip(rows, labels, strict=True) if not y]), minlength=size)
+        terms = choose(pos, neg, n_pos, n_neg)
     place = np.full(size, -1, np.int64)
     place[terms] = np.arange(len(terms))
     kept = [place[r][place[r] >= 0] for r in rows]
@@ -161,18 +172,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             rows = pa.array([x.tolist() for x in buckets(rt.texts(b.column(1)))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), rows], ["doc_id", "toxic", "buckets"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("__own"), F.col(text_col).alias("__text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__own"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     # Sixteen bytes a row and at most max_rows rows: small enough to broadcast at any scale.
     chosen = texts.join(F.broadcast(sample), F.col("__own") == F.col("__id")).select("__own", "__text", "__toxic")
-    got = chosen.mapInArrow(run, "doc_id long, toxic int, buckets array<int>").toArrow().sort_by("doc_id")
+    one = chosen.groupBy("__own", "__toxic").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"))).alias("least"))
+    with rt.passing(spark):
+        taught = rt.materialize(one.select("__own", F.col("least.t").alias("__text"), "__toxic").mapInArrow(run, "doc_id long, toxic int, buckets array<int>"), "taught")
+        seen = taught.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n")).toArrow()
+        totals = taught.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
+        size = 1 << BUCKET_BITS
+        pos, both = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        at = seen.column("bucket").to_numpy()
+        pos[at], both[at] = seen.column("pos").to_numpy(), seen.column("n").to_numpy()
+        terms = choose(pos, both - pos, totals.pos, totals.n - totals.pos) if 0 < totals.pos < totals.n else np.zeros(0, np.int64)
+
+        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in rt.small(batches):
+                kept = [np.intersect1d(np.asarray(x, np.int64), terms, assume_unique=True).tolist() for x in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.list_(pa.int32()))], ["doc_id", "toxic", "buckets"])
+
+        got = taught.mapInArrow(only, taught.schema).toArrow().sort_by("doc_id")
     lists = got.column("buckets").combine_chunks()
     values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
     rows = [values[a:b].astype(np.int64) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-    return fit(rows, got.column("toxic").to_numpy())
+    return fit(rows, got.column("toxic").to_numpy(), terms=terms)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -186,7 +213,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = machine.scorer()
-        for b in batches:
+        for b in rt.small(batches):
             s = scorer(rt.texts(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*own, *added])
 
@@ -200,7 +227,7 @@ def reject(docs: DataFrame, machine: Machine, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = machine.scorer()
-        for b in batches:
+        for b in rt.small(batches):
             yield b.filter(pa.array(scorer(rt.texts(b.column(at))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -233,7 +233,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rt.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             sizes, media = zip(*_store(rt.texts(b.column(1))), strict=True) if b.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -253,7 +253,7 @@ def inspect(media: DataFrame) -> DataFrame:
     rt.prepare(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             yield _rows(b.column(0), (_digest(n, m) for n, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)))
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
@@ -272,7 +272,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rt.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rt.small(batches):
             yield _rows(b.column(0), (_digest(n, m) for n, m in _store(rt.texts(b.column(1)))))
 
     return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, READ)

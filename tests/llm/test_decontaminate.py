@@ -110,3 +110,40 @@ def test_items_without_an_id_and_short_items(docs, benchmark):
     assert sorted(r.doc_id for r in dc.clean(docs(rows), table).collect()) == [2, 3]
     assert [tuple(r) for r in dc.find(docs(rows), table).collect()] == [(1, 5, 0, 9)]
     assert [[f.item_id for f in x] for x in dc.Index([(5, "xq7"), (4, "a passage of some length")]).find(["xq7 a passage of some length"])] == [[4, 5]]
+
+
+@pytest.mark.parametrize("pairs", [dc.PAIRS, 64])
+def test_repetitive_texts(monkeypatch, pairs):
+    """Rulers, padding and tables: every alignment is found, whatever the size of a slice."""
+    monkeypatch.setattr(dc, "PAIRS", pairs)
+    items = [(0, "-" * 30), (1, "a" * 20 + "b" + "a" * 20), (2, "ab" * 25), (3, "| x | y |" * 6), (4, "-" * 30), (5, "a" * 60)]
+    texts = ["-" * 300, "a" * 150, "a" * 40 + "c" + "a" * 40, "ab" * 40 + "b" + "ab" * 10, "| x | y |\n" * 12, "=" * 90, "a" * 35 + "b" + "a" * 33 + "-" * 29]
+    for t, found in zip(texts, dc.Index(items).find(texts), strict=True):
+        want = {i: d for i, x in items if (d := distance(x, t)) <= dc.budget(len(x), dc.Q, dc.EDIT_RATE)}
+        assert {f.item_id: f.edits for f in found} == want
+
+
+@pytest.mark.parametrize("item", ["a" * 2000, "a" * 1000 + "b" + "a" * 999])
+def test_memory_of_a_repetitive_pair(item):
+    import tracemalloc
+
+    tracemalloc.start()
+    (found,) = dc.Index([(1, item)]).find(["a" * (100_000 if "b" not in item else 30_000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [f.edits for f in found] == [int("b" in item)] and peak < 500 << 20
+
+
+def test_any_number_of_blocks_is_one_pass(docs, benchmark):
+    rng = np.random.default_rng(3)
+    items = [(i, passage(rng, 60)) for i in range(30)]
+    rows = [(i, passage(rng, 30) + t + passage(rng, 30)) for i, t in items] + [(100, "clean " * 30)]
+    df, table = docs(rows), benchmark(items)
+    for act in (dc.find, dc.clean):
+        plan = act(df, table, block_chars=60)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
+    assert {(r.doc_id, r.item_id) for r in dc.find(df, table, block_chars=60).collect()} == {(i, i) for i, _ in items}
+    several = dc.clean(df, table, block_chars=60, pass_chars=600)
+    assert several._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [r.doc_id for r in several.collect()] == [100]
+    assert {(r.doc_id, r.item_id) for r in dc.find(df, table, block_chars=60, pass_chars=600).collect()} == {(i, i) for i, _ in items}
