@@ -85,6 +85,31 @@ def test_training_ignores_held_out_rows_and_partitions(spark, docs):
     assert len(few.terms) <= tx.MAX_TERMS
 
 
+def test_the_sample_is_bounded(spark, docs, monkeypatch):
+    """Repeated ids and very long labelled texts: the driver gets a row for each id, and chosen terms alone."""
+    long = " ".join(f"w{i}" for i in range(150_000))  # above 1 MB
+    texts, y = labelled(40)
+    rows = [*enumerate(texts), *((1, f"{texts[1]} again {k}") for k in range(3000)), *((100 + k, f"{long} {texts[k]}") for k in range(6))]
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)] + [(100 + k, int(y[k])) for k in range(6)], "doc_id long, toxic int")
+    seen = []
+    plain = tx.fit
+    monkeypatch.setattr(tx, "fit", lambda rows, labels, **how: seen.append([len(r) for r in rows]) or plain(rows, labels, **how))
+    tx.train(docs(rows), labels)
+    held_out = [i for i in [*range(40), *range(100, 106)] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(seen[0]) == 46 - len(held_out) and max(seen[0]) <= tx.MAX_TERMS
+    tx.train(docs(rows), labels, max_rows=2)
+    assert len(seen[1]) == 2
+
+
+def test_the_sample_trains_as_all_buckets_do(spark, docs):
+    """Distributed counts choose the terms that the whole sets give."""
+    texts, y = labelled(300)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    own = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    want, got = tx.fit(tx.buckets([texts[i] for i in own]), y[own]), tx.train(docs(list(enumerate(texts))), labels)
+    assert np.array_equal(want.terms, got.terms) and np.allclose(want.weights, got.weights) and np.allclose(want.latent, got.latent)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
