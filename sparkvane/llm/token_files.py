@@ -7,12 +7,17 @@ them; row indexes and Bloom filters on doc_id let readers skip stripes, and
 stripes are read in parallel.  A document's global start is its file's base
 (a prefix sum over per-file totals) plus its offset.
 
+The ranges are quantiles of doc_id alone, a pass over one column.  An id that
+fills several ranges (null, say) is dealt over them by its texts' hashes.
+
 Defined results: null is the empty text, whose only id is the end id; rows
-with equal doc_id are ordered by text; a null doc_id comes first.
+with equal doc_id are ordered by a hash of their text, then text; a null
+doc_id comes first, as if it were the least integer.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -20,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _runtime as rt
@@ -28,7 +33,7 @@ from . import _runtime as rt
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1000  # rows between two entries of a row index
-MAX_PARTS = 1_000_000  # remembered pre-tokens; forgotten all at once when there are more
+MAX_PARTS = 1_000_000  # remembered words; forgotten all at once when there are more
 FILE = "doc_id long, offset long, n_tokens int, ids array<int>"
 #: Texts of these characters alone are composed already, and lower case is one character each.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-ÿ]*")
@@ -41,7 +46,8 @@ _END_MARK = "</w>"
 class PartEncoder:
     """A tokenizers file that lower-cases, drops white space and marks word ends.
 
-    No merge crosses a pre-token, so a text's ids are its pre-tokens' ids, and
+    No merge crosses a pre-token and no pre-token crosses white space, so a
+    text's ids are those of its words, a word's are those of its pre-tokens, and
     the library encodes each distinct pre-token once.  Texts outside Latin-1,
     or with an added token in them, go through the library whole.
     """
@@ -56,7 +62,7 @@ class PartEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(_END_MARK)
-        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         for probe in ("Ab, c.d  e'll\n(F)éÉ x1", "don't STOP. ''s 12½\tok", " "):
             if b"".join(self.encode([probe])) != self._whole(probe):
                 raise ValueError("the tokenizer splits texts otherwise")
@@ -64,37 +70,31 @@ class PartEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Encode all new pre-tokens in one call; each one's last token marks its end."""
-        names = list(new)
+    def _learn(self, new: list[str]) -> None:
+        """Encode the pre-tokens of all new words in one call; each one's last token marks its end."""
+        split = [_PARTS.findall(w) for w in new]
+        names = list({p for parts in split for p in parts})
         ids = np.array(self.lib.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, np.int32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(names):
-            self.parts.update((n, self._whole(n)) for n in names)
-            return
-        raw, at = ids.tobytes(), 0
-        for name, cut in zip(names, (cuts * 4).tolist(), strict=True):
-            self.parts[name] = raw[at:cut]
-            at = cut
+        if len(cuts) == len(names):
+            raw, ends = ids.tobytes(), (cuts * 4).tolist()
+            own = {name: raw[a:b] for name, a, b in zip(names, [0, *ends], ends, strict=False)}
+        else:
+            own = {name: self._whole(name) for name in names}
+        self.words.update((w, b"".join([own[p] for p in parts])) for w, parts in zip(new, split, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as native 32-bit integers."""
-        if len(self.parts) > MAX_PARTS:
-            self.parts.clear()
-        known = self.parts
-        split: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if not _PLAIN.fullmatch(t) or any(a in t for a in self.added):
-                split.append(None)
-                continue
-            p = _PARTS.findall(t.lower())
-            split.append(p)
-            new.update(p)
-        new -= known.keys()
+        if len(self.words) > MAX_PARTS:
+            self.words.clear()
+        known, out = self.words, []
+        split = [t.lower().split() if _PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
+        new = {w for words in split if words for w in words if w not in known}
         if new:
-            self._learn(new)
-        return [b"".join(map(known.__getitem__, p)) if p is not None else self._whole(t) for t, p in zip(texts, split, strict=True)]
+            self._learn(list(new))
+        for t, words in zip(texts, split, strict=True):
+            out.append(self._whole(t) if words is None else b"".join([known[w] for w in words]))
+        return out
 
 
 _loaded: dict[str, PartEncoder] = {}
@@ -134,24 +134,65 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
             at += int(sizes.sum())
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = chosen.repartitionByRange(rt.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    options = {"orc.compress": "ZSTD", "orc.stripe.size": STRIPE_BYTES, "orc.row.index.stride": INDEX_STRIDE, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+    n = rt.partitions(spark)
+    spread = F.pmod(F.xxhash64("text"), F.lit(_SPREAD)).cast("int")
+    placed = chosen.select("*", spread.alias("spread"), _place(_bounds(chosen, n), F.col("doc_id"), spread).alias("part"))
+    placed = placed.repartitionById(n, "part").sortWithinPartitions("doc_id", "spread", "text").select("doc_id", "text")
+    options = {"orc.compress": "ZSTD", "orc.stripe.size": STRIPE_BYTES, "orc.rows.between.memory.checks": 512, "orc.row.index.stride": INDEX_STRIDE}
+    options |= {"orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     placed.mapInArrow(run, FILE).write.options(maxRecordsPerFile=0, **options).orc(path)
 
 
+_LEAST = -(1 << 63)
+_SPREAD = 1 << 20
+
+
+def _bounds(docs: DataFrame, parts: int) -> list[int]:
+    """Quantiles of doc_id that cut it into so many ranges; only that column is read."""
+    if parts < 2:
+        return []
+    shares = [k / parts for k in range(1, parts)]
+    key = F.coalesce("doc_id", F.lit(_LEAST))
+    return docs.select(F.percentile_approx(key, F.lit(shares), F.lit(max(10_000, 10 * parts)))).first()[0] or []
+
+
+def _place(bounds: list[int], key: Column, spread: Column) -> Column:
+    """The range of a doc_id; ranges that it fills whole share its rows in the order of spread.
+
+    Bounds are looked up in two steps, so a row meets about twice the root of their number.
+    """
+    if not bounds:
+        return F.lit(0)
+    own, step = F.coalesce(key, F.lit(_LEAST)), math.isqrt(len(bounds)) + 1
+    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+
+    def below(reaches) -> Column:
+        """How many bounds the comparison holds for; it holds for a first part of them."""
+        at = F.size(F.filter(F.lit([r[-1] for r in rows]), lambda b: reaches(b)))
+        row = F.get(F.array(*[F.lit(r) for r in rows]), at)
+        return at * step + F.coalesce(F.size(F.filter(row, lambda b: reaches(b))), F.lit(0))
+
+    low, high = below(lambda b: b < own), below(lambda b: b <= own)
+    return F.least(low + F.floor(spread * (high - low + 1) / _SPREAD), F.lit(len(bounds))).cast("int")
+
+
+def part_number(name: Column) -> Column:
+    """The number of the task that wrote a file; names alone sort wrongly beyond 100,000 files."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with ``start``, the ids of all documents before each one."""
     rt.prepare(spark)
-    spark.conf.set("spark.sql.orc.columnarReaderBatchSize", "256")
-    rows = spark.read.schema(FILE).orc(path).withColumn("file", F.col("_metadata.file_name"))
-    # One row for each file; names sort as the files were ordered.
-    totals = rows.groupBy("file").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("total")).orderBy("file").collect()
+    rows = spark.read.schema(FILE).orc(path).withColumn("part", part_number(F.col("_metadata.file_name")))
+    # One row for each file, in the order of the ranges.
+    totals = rows.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("total")).orderBy("part").collect()
     bases, at = [], 0
     for r in totals:
-        bases.append((r.file, at))
+        bases.append((r.part, at))
         at += r.total
-    base = spark.createDataFrame(bases, "file string, base long")
-    return rows.join(F.broadcast(base), "file").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long"), "ids")
+    base = spark.createDataFrame(bases, "part long, base long")
+    return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), F.col("n_tokens").cast("long"), "ids")
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -160,8 +201,8 @@ def digests(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rt.small(batches):
             lists = b.column(3)
-            values, offsets = lists.values.to_numpy().astype("<u4", copy=False), lists.offsets.to_numpy()
-            crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            crc = [zlib.crc32(values[s:e].astype("<u4").tobytes()) for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkvane.llm import piece_codec, token_files
@@ -84,39 +85,85 @@ def test_counts():
     assert token_files.counter(WORDS)(texts) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("parts", [1, 4])
+@pytest.mark.parametrize("parts", [1, 4, 23])
 def test_token_files(spark, docs, odd_texts, tmp_path, parts):
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
-        rows = [*((10 * i, t) for i, t in enumerate(odd_texts)), (5, "five a"), (5, "five b"), (None, "null id")]
+        rows = [*((10 * i, t) for i, t in enumerate(odd_texts)), *((5, f"five {k}") for k in range(40)), *((None, f"null id {k}") for k in range(60)), (5, "five 0"), (-(2**40), "x")]
         path = f"file://{tmp_path}/tokens"
         token_files.write(docs(rows), path, WORDS)
-        got = {(r.doc_id, r.ids_crc32): (r.start, r.n_tokens) for r in token_files.digests(token_files.read(spark, path)).collect()}
-        lib, at = Tokenizer.from_file(WORDS), 0
-        for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        got = sorted((r.start, r.n_tokens, str(r.doc_id), r.ids_crc32) for r in token_files.digests(token_files.read(spark, path)).collect())
+        lib, at, want = Tokenizer.from_file(WORDS), 0, []
+        for i, t in rows:
             ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
-            assert got[i, zlib.crc32(np.array(ids, "<u4").tobytes())] == (at, len(ids))
-            at += len(ids)
+            want.append((str(i), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        assert sorted((i, n, c) for _, n, i, c in got) == sorted(want)
+        for start, n, *_ in got:
+            assert start == at
+            at += n
+        order = [-(2**63) if i == "None" else int(i) for _, _, i, _ in got]
+        assert order == sorted(order)
+        if parts == 23:  # an id that fills several ranges is not in one file
+            files = spark.read.schema(token_files.FILE).orc(path).where("doc_id is null").select("_metadata.file_name").distinct().count()
+            assert files > 3
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_ranges_are_looked_up_in_order(spark):
+    bounds = sorted(random.Random(3).choices(range(-50, 50), k=40))
+    ids = spark.range(-60, 60).select("id", F.lit(0).alias("zero"), F.lit(token_files._SPREAD - 1).alias("last"))
+    for r in ids.select("id", token_files._place(bounds, F.col("id"), F.col("zero")).alias("a"), token_files._place(bounds, F.col("id"), F.col("last")).alias("b")).collect():
+        assert (r.a, r.b) == (sum(b < r.id for b in bounds), sum(b <= r.id for b in bounds))
+
+
+def test_files_are_ordered_by_part_number(spark):
+    """Above 100,000 files names do not sort as the files were written."""
+    names = spark.range(99_990, 100_101).select(F.format_string("part-%05d-6f0e-c000.zstd.orc", "id").alias("name"), "id")
+    assert [r.id for r in names.orderBy("name").collect()] != [r.id for r in names.orderBy("id").collect()]
+    assert [r.id for r in names.orderBy(token_files.part_number(F.col("name"))).collect()] == list(range(99_990, 100_101))
+
+
 def test_token_files_of_nothing(spark, docs, tmp_path):
     path = f"file://{tmp_path}/none"
     token_files.write(docs([]), path, WORDS)
     assert token_files.digests(token_files.read(spark, path)).count() == 0
 
 
+def _scanned(df) -> int:
+    """Rows that the file scan of a plan without a shuffle gave."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
 def test_token_files_prune(spark, docs, tmp_path):
-    """A doc_id filter reaches the ORC scan, and the files carry Bloom filters on it."""
-    path = f"file://{tmp_path}/pruned"
-    token_files.write(docs([(i, f"text {i}") for i in range(50)]), path, WORDS)
-    plan = spark.read.schema(token_files.FILE).orc(path).where("doc_id = 7")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(doc_id,7)" in plan
+    """Row indexes and Bloom filters on doc_id keep a scan from rows it need not read."""
+    path, n = f"file://{tmp_path}/pruned", 12_000
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_files.write(docs([(2 * i, f"text {i}") for i in range(n)]), path, WORDS)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = spark.read.schema(token_files.FILE).orc(path)
+    assert _scanned(rows.select("doc_id")) == n
+    assert 0 < _scanned(rows.where("doc_id = 4000").select("doc_id")) <= token_files.INDEX_STRIDE
+    # Odd ids lie within the indexes' ranges; only a Bloom filter knows that they are absent.
+    assert sum(_scanned(rows.where(f"doc_id = {4001 + 2 * k}").select("doc_id")) == 0 for k in range(5)) >= 4
     import glob
 
-    raw = b"".join(open(f, "rb").read() for f in glob.glob(f"{tmp_path}/pruned/*.orc"))
-    assert raw.startswith(b"ORC")
+    import pyarrow.orc as orc
+
+    (file,) = [orc.ORCFile(f) for f in glob.glob(f"{tmp_path}/pruned/*.orc")]
+    assert (file.row_index_stride, file.compression, file.nrows) == (token_files.INDEX_STRIDE, "ZSTD", n)
+
+
+def test_options_of_the_session_stay(spark, docs, tmp_path):
+    before = dict(spark.conf.getAll)
+    token_files.write(docs([(1, "a")]), f"file://{tmp_path}/t", WORDS)
+    token_files.read(spark, f"file://{tmp_path}/t").collect()
+    piece_codec.round_trip(docs([(1, "a")]), PIECES).collect()
+    assert dict(spark.conf.getAll) == before
 
 
 @settings(max_examples=120, deadline=None)
