@@ -33,7 +33,7 @@ from . import _runtime as rt
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1000  # rows between two entries of a row index
-MAX_PARTS = 1_000_000  # remembered words; forgotten all at once when there are more
+MAX_PARTS = 1_000_000  # remembered pre-tokens; forgotten all at once when there are more
 FILE = "doc_id long, offset long, n_tokens int, ids array<int>"
 #: Texts of these characters alone are composed already, and lower case is one character each.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-ÿ]*")
@@ -46,8 +46,7 @@ _END_MARK = "</w>"
 class PartEncoder:
     """A tokenizers file that lower-cases, drops white space and marks word ends.
 
-    No merge crosses a pre-token and no pre-token crosses white space, so a
-    text's ids are those of its words, a word's are those of its pre-tokens, and
+    No merge crosses a pre-token, so a text's ids are its pre-tokens' ids, and
     the library encodes each distinct pre-token once.  Texts outside Latin-1,
     or with an added token in them, go through the library whole.
     """
@@ -62,7 +61,7 @@ class PartEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith(_END_MARK)
-        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         for probe in ("Ab, c.d  e'll\n(F)éÉ x1", "don't STOP. ''s 12½\tok", " "):
             if b"".join(self.encode([probe])) != self._whole(probe):
                 raise ValueError("the tokenizer splits texts otherwise")
@@ -70,30 +69,41 @@ class PartEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode the pre-tokens of all new words in one call; each one's last token marks its end."""
-        split = [_PARTS.findall(w) for w in new]
-        names = list({p for parts in split for p in parts})
+    def _learn(self, new: set[str]) -> None:
+        """Encode all new pre-tokens in one call; each one's last token marks its end."""
+        names = list(new)
         ids = np.array(self.lib.encode_batch_fast([" ".join(names)], add_special_tokens=False)[0].ids, np.int32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(names):
             raw, ends = ids.tobytes(), (cuts * 4).tolist()
-            own = {name: raw[a:b] for name, a, b in zip(names, [0, *ends], ends, strict=False)}
+            self.parts.update(zip(names, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
         else:
-            own = {name: self._whole(name) for name in names}
-        self.words.update((w, b"".join([own[p] for p in parts])) for w, parts in zip(new, split, strict=True))
+            self.parts.update((n, self._whole(n)) for n in names)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as native 32-bit integers."""
-        if len(self.words) > MAX_PARTS:
-            self.words.clear()
-        known, out = self.words, []
-        split = [t.lower().split() if _PLAIN.fullmatch(t) and not any(a in t for a in self.added) else None for t in texts]
-        new = {w for words in split if words for w in words if w not in known}
+        if len(self.parts) > MAX_PARTS:
+            self.parts.clear()
+        known, out, later, new = self.parts.get, [], [], set()
+        for t in texts:
+            if not _PLAIN.fullmatch(t) or any(a in t for a in self.added):
+                out.append(self._whole(t))
+                continue
+            parts = _PARTS.findall(t.lower())
+            ids = list(map(known, parts))
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                new.update(map(parts.__getitem__, gaps))
+                later.append((len(out), parts, ids, gaps))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
         if new:
-            self._learn(list(new))
-        for t, words in zip(texts, split, strict=True):
-            out.append(self._whole(t) if words is None else b"".join([known[w] for w in words]))
+            self._learn(new)
+            for i, parts, ids, gaps in later:
+                for k in gaps:
+                    ids[k] = known(parts[k])
+                out[i] = b"".join(ids)
         return out
 
 
