@@ -21,6 +21,10 @@ class InvalidInput(ValueError):
     """An argument or a row outside the contract; nothing was changed."""
 
 
+class Conflict(RuntimeError):
+    """Another writer was first; nothing was changed, and the newest version can be tried again."""
+
+
 class Busy(RuntimeError):
     """A prepared search has no free worker."""
 

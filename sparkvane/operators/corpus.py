@@ -40,11 +40,15 @@ class Corpus:
     """``df`` has (id LONG, hv ARRAY<FLOAT>, inv_norm FLOAT), ids 0..len-1.
 
     Mutations return new snapshots and leave this one as it is.  A snapshot
-    that belongs to a store writes its children there.
+    that belongs to a store writes its children there, as the store's newest
+    version; if another writer has done so first, they raise Conflict.  Encoding
+    is lazy: a snapshot that is neither saved nor persisted encodes its rows in
+    every search.
     """
 
-    def __init__(self, df: DataFrame, dimensions: int, count: int, store: Store | None = None, manifest: Manifest | None = None):
+    def __init__(self, df: DataFrame, dimensions: int, count: int, store: Store | None = None, manifest: Manifest | None = None, head: bool = True):
         self.df, self.dimensions, self.count, self.store, self.manifest = df, check_dimensions(dimensions), check_rows(count), store, manifest
+        self._head = head
 
     # Building
 
@@ -90,8 +94,12 @@ class Corpus:
         return cls._at(store, m)
 
     @classmethod
-    def _at(cls, store: Store, m: Manifest) -> Corpus:
-        return cls(store.read(m), m.dimensions, m.count, store, m)
+    def _at(cls, store: Store, m: Manifest, head: bool = True) -> Corpus:
+        return cls(store.read(m), m.dimensions, m.count, store, m, head)
+
+    def fork(self) -> Corpus:
+        """This snapshot as the root of a branch: its children never become the store's newest version."""
+        return Corpus(self.df, self.dimensions, self.count, self.store, self.manifest, False)
 
     def save(self, path: str, page_rows: int | None = None) -> Corpus:
         """Write a version to a store and return it as a snapshot of that store."""
@@ -189,11 +197,15 @@ class Corpus:
 
     # Mutation
 
-    def append(self, rows: DataFrame, half: bool = False, id_col: str | None = None, vector_col: str = "v") -> Corpus:
+    def append(self, rows: DataFrame, half: bool = False, id_col: str | None = None, vector_col: str = "v", batch: tuple[str, int] | None = None) -> Corpus:
         """A snapshot with rows after these; no rows, no change.
 
         Rows are numbered in their order, or by an id_col that is dense from 0.
+        In a store, batch is a stream's name and the number of the micro-batch that
+        the rows are; one that is in the snapshot already changes nothing.
         """
+        if batch and self.store and self.manifest.streams.get(batch[0], -1) >= batch[1]:
+            return self
         if id_col is None:
             placed, n = ingest.with_ids(rows.select(F.col(vector_col).alias("v")), self.count)
         else:
@@ -205,7 +217,7 @@ class Corpus:
         check_rows(self.count + n)
         new = (ingest.encode_half if half else ingest.encode)(placed, self.dimensions)
         if self.store:
-            return self._at(self.store, self.store.append(self.manifest, new, n))
+            return self._at(self.store, self.store.append(self.manifest, new, n, self._head, batch), self._head)
         self._evaluate(new)
         return Corpus(self.df.unionByName(new), self.dimensions, self.count + n)
 
@@ -222,9 +234,9 @@ class Corpus:
         if r.n > MAX_ELEMENTS // self.padded_dimensions:
             raise InvalidInput("an update is too large")
         new = (ingest.encode_half if half else ingest.encode)(placed, self.dimensions)
+        if self.store:  # writing evaluates the rows
+            return self._at(self.store, self.store.update(self.manifest, new, self._head), self._head)
         self._evaluate(new)
-        if self.store:
-            return self._at(self.store, self.store.update(self.manifest, new))
         return Corpus(upsert(self.df, new), self.dimensions, self.count)
 
     @staticmethod
@@ -235,6 +247,6 @@ class Corpus:
     def compact(self) -> Corpus:
         """The same rows, bit for bit, in as few parts as they need."""
         if self.store:
-            return self._at(self.store, self.store.compact(self.manifest))
+            return self._at(self.store, self.store.compact(self.manifest, self._head), self._head)
         files = max(1, -(-self.count * self.dimensions * 4 // (128 << 20)))
         return Corpus(self.df.repartitionByRange(files, "id").sortWithinPartitions("id"), self.dimensions, self.count)

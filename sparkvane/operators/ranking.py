@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ranks
-from ..limits import InvalidInput, check_k
+from ..limits import MAX_K, InvalidInput, check_k
 
 _LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
-def allow_group_limits(spark) -> None:
-    """Let Spark prune groups before the shuffle for every k up to MAX_K."""
-    if int(spark.conf.get(_LIMIT_CONF)) < 2048:
-        spark.conf.set(_LIMIT_CONF, "2048")
+def allow_group_limits(spark, k: int) -> None:
+    """Let Spark prune groups of k rows before the shuffle; its own limit is enough for all but the largest k."""
+    if int(spark.conf.get(_LIMIT_CONF)) < k:
+        spark.conf.set(_LIMIT_CONF, str(MAX_K))
 
 
 def top_k(scores: DataFrame, k: int, group: str | None = "qid", item: str = "id", score: str = "score", rank: str = "rk") -> DataFrame:
@@ -30,7 +30,7 @@ def top_k(scores: DataFrame, k: int, group: str | None = "qid", item: str = "id"
     if group is None:
         best = rows.orderBy(*order).limit(k)
         return best.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias(rank), *best.columns)
-    allow_group_limits(scores.sparkSession)
+    allow_group_limits(scores.sparkSession, k)
     ranked = rows.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
     return ranked.where(F.col(rank) <= k)
 

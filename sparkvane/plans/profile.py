@@ -24,13 +24,56 @@ def operations(df: DataFrame) -> dict[str, int]:
     return counts
 
 
+def _nodes(plan):
+    """The plan's nodes as they ran, through adaptive wrappers."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        yield from _nodes(plan.executedPlan())
+    elif name.endswith("QueryStage"):
+        yield from _nodes(plan.plan())
+    else:
+        yield plan
+        children = plan.children()
+        for i in range(children.size()):
+            yield from _nodes(children.apply(i))
+
+
+#: What a metric of a node counts: its kind, its name and what one unit is of the figure's.
+_FIGURES = {"timing": ("ms", 1.0), "nsTiming": ("ms", 1e-6), "size": ("bytes", 1)}
+
+
+def measured(df: DataFrame) -> dict[str, dict[str, float]]:
+    """Of each physical operation of a frame that has run: how often, milliseconds, rows out and bytes.
+
+    Milliseconds are summed over tasks.  Operations that are compiled into one
+    stage have no times of their own; WholeStageCodegen has the stage's.
+    """
+    out: dict[str, dict[str, float]] = {}
+    for node in _nodes(df._jdf.queryExecution().executedPlan()):
+        name = re.match(r"\w+", node.nodeName())[0]
+        own = out.setdefault(name, {"commands": 0, "ms": 0.0, "rows": 0, "bytes": 0})
+        own["commands"] += 1
+        found = node.metrics().iterator()
+        while found.hasNext():
+            pair = found.next()
+            metric, kind = pair._2(), pair._2().metricType()
+            value = max(0, metric.value())
+            if pair._1() in ("numOutputRows", "pythonNumRowsReceived"):
+                own["rows"] += value
+            elif kind in _FIGURES:
+                figure, unit = _FIGURES[kind]
+                own[figure] += value * unit
+    return out
+
+
 def observed(df: DataFrame, act: Callable[[DataFrame], object]) -> tuple[object, dict]:
-    """act's result, with planning and run times and the plan's operations."""
+    """act's result, with planning and run times and what each operation of the plan did.  act must run df itself."""
     t = time.perf_counter()
-    ops = operations(df)
+    operations(df)
     planned = time.perf_counter()
     out = act(df)
-    return out, {"preparation_ms": (planned - t) * 1000, "run_ms": (time.perf_counter() - planned) * 1000, "stages": ops, "plan": plan_text(df)}
+    run = (time.perf_counter() - planned) * 1000
+    return out, {"preparation_ms": (planned - t) * 1000, "run_ms": run, "stages": measured(df), "plan": plan_text(df)}
 
 
 def stage_counts(df: DataFrame) -> DataFrame:

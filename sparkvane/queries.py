@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions.half import to_half_bytes
 from .functions.vectors import cosine, l2_norm, let, unit_query
-from .limits import padded
+from .limits import MAX_K, padded
 from .operators.corpus import Corpus
 from .operators.exclusions import Exclusions
 from .operators.grouping import best_per_group, collapse, top_groups
 from .operators.ranking import score_batch, top_k
-from .operators.search import Searcher
+from .operators.search import PreparedSearch, Searcher
 from .plans.profile import overlap, stage_counts
 from .sources.ingest import bad_padded_rows
 from .sources.scratch import scratch_path
@@ -186,10 +187,12 @@ def search_top1024(spark, sf_dir):
     return rounded(Searcher(corpus(spark, sf_dir)).search(first_vectors(spark, sf_dir, 1)[0], 1024))
 
 
-_EXCLUDED = [0, 7, 8, 31, 32, 33, 7, 99, 0]
+#: IDs around the powers of two, where bitmaps change words, some of them twice.
+_EXCLUDED = [2**k + d for k in range(8) for d in (-1, 0, 1)]
+_KEPT = f"id NOT IN ({', '.join(map(str, sorted(set(_EXCLUDED))))})"
 
 
-@_query(_single_sql(10, "id NOT IN (0, 7, 8, 31, 32, 33, 99)"))
+@_query(_single_sql(10, _KEPT))
 def search_excluding(spark, sf_dir):
     return rounded(Searcher(corpus(spark, sf_dir)).search(first_vectors(spark, sf_dir, 1)[0], 10, _EXCLUDED))
 
@@ -210,7 +213,7 @@ def search_batch_60_sql(spark, sf_dir):
     return rounded(Searcher(corpus(spark, sf_dir), engine="sql").search_batch(first_vectors(spark, sf_dir, 60), 5))
 
 
-@_query(_batch_sql(BATCH, 5, "id NOT IN (0, 7, 8, 31, 32, 33, 99)"))
+@_query(_batch_sql(BATCH, 5, _KEPT))
 def search_batch_excluding(spark, sf_dir):
     return rounded(Searcher(corpus(spark, sf_dir)).search_batch(first_vectors(spark, sf_dir, BATCH), 5, _EXCLUDED))
 
@@ -236,24 +239,26 @@ def device_search_status(spark, sf_dir):
     return found.select("qid", "status", "count", F.coalesce(F.try_element_at("neighbors", F.lit(1)).getField("id"), F.lit(-1).cast("long")).alias("first_id"))
 
 
-_SPECIAL = "CASE i % 17 WHEN 0 THEN 'NaN'::FLOAT WHEN 1 THEN '-Infinity'::FLOAT WHEN 2 THEN 'Infinity'::FLOAT WHEN 3 THEN -0.0::FLOAT ELSE ((13 * i) % 31 - 15)::FLOAT END"
+#: Scores by the number of bits in which ID and query differ: all kinds of special values, and many ties.
+_SPECIAL = """CASE bits WHEN 1 THEN 'Infinity'::FLOAT WHEN 2 THEN '-Infinity'::FLOAT WHEN 3 THEN 'NaN'::FLOAT
+ WHEN 5 THEN (CASE WHEN id % 2 = 0 THEN 0.0 ELSE -0.0 END)::FLOAT ELSE (bits - 5)::FLOAT END"""
 
 
 @_query(
-    f"""WITH scored AS (SELECT q.range AS qid, i.range AS id, (SELECT {_SPECIAL} FROM (SELECT i.range + q.range AS i)) AS s FROM range(3) q, range(500) i),
+    f"""WITH bits AS (SELECT q.range AS qid, i.range AS id, bit_count(xor(i.range, q.range)) AS bits FROM range(3) q, range(700) i),
+scored AS (SELECT qid, id, {_SPECIAL} AS s FROM bits),
 {_ranked(40, "(SELECT * FROM scored WHERE NOT isnan(s) AND s > '-Infinity'::FLOAT)")} SELECT qid, rk, id FROM best"""
 )
 def topk_custom_scores(spark, sf_dir):
     """A score matrix with NaN, infinities, signed zeros and many ties."""
 
     def value(i):
-        r = i % 17
-        return (
-            F.when(r == 0, float("nan")).when(r == 1, float("-inf")).when(r == 2, float("inf")).when(r == 3, -0.0).otherwise((i * 13) % 31 - 15).cast("float")
-        )
+        bits = F.bit_count(i.bitwiseXOR(F.col("id").cast("int")))
+        zero = F.when(i % 2 == 0, 0.0).otherwise(-0.0)
+        return F.when(bits == 1, float("inf")).when(bits == 2, float("-inf")).when(bits == 3, float("nan")).when(bits == 5, zero).otherwise(bits - 5).cast("float")
 
-    matrix = spark.range(3).select(F.col("id").alias("qid"), F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: value(i + F.col("id"))).alias("scores"))
-    return top_k(score_batch(matrix, 500), 40).select("qid", "rk", "id")
+    matrix = spark.range(3).select(F.col("id").alias("qid"), F.transform(F.sequence(F.lit(0), F.lit(699)), value).alias("scores"))
+    return top_k(score_batch(matrix, 700), 40).select("qid", "rk", "id")
 
 
 @_query("SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk, o_orderkey AS id, o_totalprice::DOUBLE AS score FROM orders QUALIFY rk <= 3")
@@ -270,11 +275,12 @@ def topk_events_by_user(spark, sf_dir):
 
 # Gathering, grouping, joining
 
-_GATHERED = [10, 0, 10, 3, 1, 2, 9]
+#: Some rows in no order, the first of them twice more.
+_GATHERED = (lambda ids: ids + ids[:2])(random.Random(41).sample(range(100), 9))
 
 
 @_query(
-    f"""WITH {_CORPUS}, asked AS (SELECT unnest(range(7)) AS pos, unnest({_GATHERED}) AS id)
+    f"""WITH {_CORPUS}, asked AS (SELECT unnest(range({len(_GATHERED)})) AS pos, unnest({_GATHERED}) AS id)
 SELECT a.pos, a.id::BIGINT AS id, unnest(range(len(hv))) AS place, round(unnest(list_transform(hv, lambda h: (h::DOUBLE * inv::DOUBLE)::FLOAT))::DOUBLE, 9) AS component
 FROM asked a JOIN corpus c ON c.id = a.id"""
 )
@@ -283,18 +289,23 @@ def gather_rows(spark, sf_dir):
     return got.select("pos", "id", F.posexplode("v").alias("place", "component")).select("pos", "id", F.col("place").cast("long"), F.round(F.col("component").cast("double"), 9).alias("component"))
 
 
+_SUBSETS = (list(range(19, -1, -1)), list(range(39, 19, -1)))
+
+
 @_query(
     f"""WITH {_CORPUS}, g AS (SELECT id, list_transform(hv, lambda h: (h::DOUBLE * inv::DOUBLE)::FLOAT) AS v FROM corpus WHERE id < 40),
-scored AS (SELECT a.id AS qid, b.id, ({_dot("a.v", "b.v")})::FLOAT AS s FROM g a, g b WHERE a.id < 20 AND b.id >= 20), {_ranked(1)}
-SELECT qid, id, {_SIM} FROM best"""
+scored AS (SELECT 19 - a.id AS qid, 39 - b.id AS id, ({_dot("a.v", "b.v")})::FLOAT AS s FROM g a, g b WHERE a.id < 20 AND b.id >= 20), {_ranked(1)}
+SELECT 19 - qid AS left_id, 39 - id AS right_id, {_SIM} FROM best"""
 )
 def subset_scores_best(spark, sf_dir):
-    """Dense block scores of two gathered subsets, and each left row's best right one."""
+    """Dense block scores of two gathered subsets by place, each left row's best right one, and both places back to IDs."""
     own = corpus(spark, sf_dir)
-    left, right = own.gather(list(range(20))), own.gather(list(range(20, 40)))
+    left, right = (own.gather(ids) for ids in _SUBSETS)
     one = F.lit(1.0).cast("float")
-    block = left.select(F.col("id").alias("qid"), F.col("v").alias("a")).crossJoin(F.broadcast(right.select("id", F.col("v").alias("b"))))  # 20 rows
-    return rounded(top_k(block.select("qid", "id", cosine(F.col("b"), one, F.col("a")).alias("similarity")), 1, score="similarity").select("qid", "id", "similarity"))
+    block = left.select(F.col("pos").alias("qid"), F.col("v").alias("a")).crossJoin(F.broadcast(right.select(F.col("pos").alias("id"), F.col("v").alias("b"))))  # 20 rows
+    best = top_k(block.select("qid", "id", cosine(F.col("b"), one, F.col("a")).alias("similarity")), 1, score="similarity")
+    names = [spark.createDataFrame(list(enumerate(ids)), f"{place} long, {name} long") for ids, place, name in zip(_SUBSETS, ("qid", "id"), ("left_id", "right_id"), strict=True)]
+    return rounded(best.join(F.broadcast(names[0]), "qid").join(F.broadcast(names[1]), "id").select("left_id", "right_id", "similarity"))  # 20 rows each
 
 
 def _album(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -324,12 +335,12 @@ def album_topk(spark, sf_dir):
 
 
 @_query(
-    f"""WITH {_CORPUS}, {_queries(BATCH, True)}, {_SCORED}, {_ranked(40)},
+    f"""WITH {_CORPUS}, {_queries(BATCH, True)}, {_SCORED}, {_ranked(MAX_K)},
 firsts AS (SELECT best.*, label FROM best JOIN embeddings e ON e.vec_id = best.id QUALIFY row_number() OVER (PARTITION BY qid, label ORDER BY rk) = 1)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rk) AS slot, id, label::BIGINT AS album FROM firsts QUALIFY slot <= 5"""
 )
 def collapse_by_label(spark, sf_dir):
-    found = Searcher(corpus(spark, sf_dir)).search_batch(first_vectors(spark, sf_dir, BATCH), 40)
+    found = Searcher(corpus(spark, sf_dir)).search_batch(first_vectors(spark, sf_dir, BATCH), MAX_K)
     ordinals = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("album"))
     return collapse(found, ordinals, 5).select("qid", "slot", "id", "album")
 
@@ -341,7 +352,17 @@ def external_id_join(spark, sf_dir):
     return found.join(names, found["id"] == names["external_id"]).select("rk", "external_id", "source")
 
 
-@_query()
+def _walk_sql(steps: int) -> str:
+    """Every step's scan spelled out, without the rows of the steps before."""
+    parts = [_CORPUS, _queries(1, False), "q0 AS (SELECT q FROM qs)"]
+    for n in range(steps):
+        seen = " AND ".join(["true", *(f"c.id <> (SELECT id FROM w{m})" for m in range(n))])
+        parts.append(f"w{n} AS (SELECT id, hv FROM (SELECT c.id, c.hv, ({_dot('c.hv', 'q.q')} * c.inv::DOUBLE)::FLOAT AS s FROM corpus c, q{n} q WHERE {seen}) ORDER BY s DESC, id LIMIT 1)")
+        parts.append(f"q{n + 1} AS (SELECT list_transform(hv, lambda x: (x::DOUBLE / l)::FLOAT) AS q FROM (SELECT hv, sqrt({_squares('hv')}) AS l FROM w{n}))")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {n}::BIGINT AS step, id FROM w{n}" for n in range(steps))
+
+
+@_query(_walk_sql(6))
 def similarity_walk(spark, sf_dir):
     own = corpus(spark, sf_dir)
     own.persist()
@@ -350,16 +371,20 @@ def similarity_walk(spark, sf_dir):
     return spark.createDataFrame([(n, i) for n, i in enumerate(steps)], "step long, id long")
 
 
-@_query("SELECT id::BIGINT AS id FROM (VALUES (1), (3), (5), (6)) t(id)")
+@_query(
+    """SELECT vec_id AS id FROM embeddings
+WHERE vec_id IN (1, 5) OR vec_id % 3 = 0 AND NOT (vec_id >= 30 AND vec_id % 2 = 0) AND NOT (vec_id >= 12 AND vec_id % 4 = 0)"""
+)
 def exclusion_set_ops(spark, sf_dir):
-    ex = Exclusions(spark, len(corpus(spark, sf_dir)))
-    ex.insert([9, 9])
+    """Lists and frames in and out; IDs beyond the corpus count in frames alone, where they are ignored."""
+    rows = len(corpus(spark, sf_dir))
+    ex = Exclusions(spark, rows)
+    ex.insert(range(100, 130))
     ex.clear()
-    ex.insert([5, 1, 2, 5])
-    ex.insert_frame(spark.range(2, 7))
-    ex.remove([2, 2])
-    ex.remove_frame(spark.createDataFrame([(4,), (10**9,)], "id long"))
-    ex.insert_frame(spark.createDataFrame([(10**9,)], "id long"))
+    ex.insert_frame(spark.range(0, rows + 50, 3))
+    ex.remove(range(30, rows, 2))
+    ex.remove_frame(spark.range(12, rows + 12, 4))
+    ex.insert([1, 1, 5])
     return ex.df
 
 
@@ -402,7 +427,7 @@ def compact_search(spark, sf_dir):
 @_query("SELECT 'base' AS snapshot, count(*) AS n FROM embeddings UNION ALL SELECT 'left', count(*) + 5 FROM embeddings UNION ALL SELECT 'right', count(*) + 6 FROM embeddings")
 def snapshot_isolation(spark, sf_dir):
     """Two appends from one base: each sees its own rows, the base none."""
-    base = _stored(spark, corpus(spark, sf_dir))
+    base = _stored(spark, corpus(spark, sf_dir)).fork()
     left, right = base.append(_negated(spark, sf_dir, 5), id_col="id"), base.append(_negated(spark, sf_dir, 6), id_col="id")
     out = None
     for name, c in (("base", base), ("left", left), ("right", right)):
@@ -411,10 +436,42 @@ def snapshot_isolation(spark, sf_dir):
     return out
 
 
-@_query(f"WITH {_CORPUS} SELECT id, list_transform(hv, lambda x: x::DOUBLE)[1] AS first_component, inv::DOUBLE AS inv_norm FROM corpus")
+@_query(f"WITH {_CORPUS} SELECT id, unnest(range(len(hv))) AS pos, unnest(hv)::DOUBLE AS component, inv::DOUBLE AS inv_norm FROM corpus")
 def save_load_roundtrip(spark, sf_dir):
     saved = _stored(spark, corpus(spark, sf_dir))
-    return Corpus.load(spark, saved.store.path).df.select("id", F.get("hv", F.lit(0)).cast("double").alias("first_component"), F.col("inv_norm").cast("double"))
+    parts = Corpus.load(spark, saved.store.path).df.select("id", F.posexplode("hv").alias("pos", "component"), "inv_norm")
+    return parts.select("id", F.col("pos").cast("long"), F.col("component").cast("double"), F.col("inv_norm").cast("double"))
+
+
+def _as_halves(rows: DataFrame) -> DataFrame:
+    """The rows' encoded components, as binary16 bytes."""
+    return to_half_bytes(Corpus.build(rows, DIMENSIONS).df.select("id", F.col("hv").alias("v")))
+
+
+@_query(f"WITH {_corpus_of(f'{_SOURCE} UNION ALL SELECT id + (SELECT count(*) FROM embeddings), v FROM ({_NEW})')}, {_MUTATED}")
+def append_half_search(spark, sf_dir):
+    """The same appended as binary16 bytes."""
+    grown = _stored(spark, corpus(spark, sf_dir)).append(_as_halves(_negated(spark, sf_dir, 30)), half=True, id_col="id")
+    return rounded(Searcher(grown).search(first_vectors(spark, sf_dir, 1)[0], 10))
+
+
+@_query(ORACLES["update_search"])
+def update_half_search(spark, sf_dir):
+    changed = _stored(spark, corpus(spark, sf_dir)).update(_as_halves(_negated(spark, sf_dir, 30)), half=True)
+    return rounded(Searcher(changed).search(first_vectors(spark, sf_dir, 1)[0], 10))
+
+
+@_query(
+    f"""WITH {_CORPUS}, {_queries(BATCH, True)}, {_SCORED}, {_ranked(4)}
+SELECT qid, 0 AS status, 4 AS count, list({_SIM.split(" AS ")[0]} ORDER BY rk)::VARCHAR AS scores, list(id ORDER BY rk)::VARCHAR AS ids FROM best GROUP BY qid"""
+)
+def prepared_search(spark, sf_dir):
+    """Status, counts, scores and ids of a prepared search's fixed-shape results."""
+    with PreparedSearch(Searcher(corpus(spark, sf_dir)), BATCH, 4).submit(first_vectors(spark, sf_dir, BATCH)) as found:
+        df = found.df
+    as_list = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    near = F.transform("scores", lambda x: F.round(x.cast("double"), 6).cast("string"))
+    return df.select("qid", "status", "count", as_list(near).alias("scores"), as_list(F.col("ids").cast("array<string>")).alias("ids"))
 
 
 # Reports

@@ -9,15 +9,16 @@ from ..operators.corpus import Corpus
 
 
 def append_stream(rows: DataFrame, path: str, checkpoint: str, half: bool = False, vector_col: str = "v") -> StreamingQuery:
-    """Append every micro-batch of a streaming frame to the corpus at path.
+    """Append every micro-batch of a streaming frame to the corpus at path, each once.
 
-    The newest version is read anew for each batch.  A replayed batch would be
-    appended again, so the last batch id is kept in the manifest's lineage by
-    Spark's checkpoint alone: at least once.
+    The newest version is read anew for each batch.  Its manifest holds the last
+    batch of every stream, known by its checkpoint, so a replayed batch is not
+    appended again.  Another writer's version in between raises Conflict, and
+    the restarted stream repeats the batch upon that version.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            Corpus.load(batch.sparkSession, path).append(batch, half, vector_col=vector_col)
+            Corpus.load(batch.sparkSession, path).append(batch, half, vector_col=vector_col, batch=(checkpoint, number))
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
