@@ -7,16 +7,18 @@ of a window's three-word shingles retrieve templates; exact containment of the
 template's shingles in the window's verifies them.  Three words, because a
 notice can be as short as "All rights reserved".
 
-Every match holds one of a few trigger words, by counting: they cover more of a
-template's shingles than a match may lack.  Windows without any are skipped,
-which loses nothing.
+A window is signed only if it can match: a match has the contained share of
+some template's shingles of that size class, so at least as many of the window's
+shingles must be in a bitmap of all templates' shingles.  The bitmap has a
+bounded size; a crowded one only lets more windows through.
 
 The bands: a whole template makes up at least a quarter of its window's
 shingles, and ``bands_for`` gives the number that finds it at the target rate.
 
 Defined results: null text is empty; a text of fewer than three words matches
-nothing, and neither does such a template; rows with equal doc_id are one
-document.
+nothing, and neither does such a template; templates may have any length and
+number; rows with equal doc_id are one document, and templates of one
+license_id are told apart inside and reported as one.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import let
 from . import _runtime as rt
 
 # Notices and opening passages of public licenses.
@@ -51,8 +54,10 @@ RECALL = 0.999
 #: Half window sizes in words; a template belongs to the least that holds it, and
 #: ``sizes_for`` goes on by quarters to the longest template.
 SIZES = (3, 4, 5, 6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 94, 118, 148, 185, 232, 290)
-#: Beyond these, templates are joined by shuffle, and there are no triggers.
-MAX_SMALL_TEMPLATES, MAX_TRIGGERS = 2000, 64
+#: Of the bitmap of template shingles: bits for each, and bits at most (16 MB).
+BITS_PER_SHINGLE, MAX_BITS = 16, 1 << 27
+#: Bytes of templates (their band keys, their shingles) up to which they are broadcast; beyond, joined by shuffle with a salt.
+BROADCAST_BYTES, SALTS = 64 << 20, 16
 
 
 def sizes_for(longest: int) -> list[int]:
@@ -85,42 +90,35 @@ def _signature(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda seed: F.array_min(F.transform(shingles, lambda x: F.xxhash64(seed, x))))
 
 
-def _starts(half: int) -> Column:
-    """The windows of one size that hold a position of ``at``: two for each."""
-    both = F.flatten(F.transform("at", lambda i: F.array(F.floor(i / half), F.greatest(F.floor(i / half) - 1, F.lit(0)))))
-    return F.transform(F.array_distinct(both), lambda j: F.struct(F.lit(half).alias("half"), (j * half).cast("int").alias("start")))
+def _starts(half: int, need: int) -> Column:
+    """The windows of one size that hold ``need`` of the positions in ``at``: at most two for each of them."""
 
+    def around(at: Column, k: Column) -> Column:
+        first, last = F.get(at, k), F.get(at, k + (need - 1))
+        low = F.greatest(F.ceil((last + SHINGLE - 2 * half) / half), F.lit(0))
+        return F.transform(F.when(low <= F.floor(first / half), F.sequence(low, F.floor(first / half))).otherwise(F.array().cast("array<bigint>")), lambda j: j * half)
 
-def builtin_templates(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("template")) for k, v in TEMPLATES.items()])
-    return spark.range(1).select(F.inline(rows))
+    every = F.sequence(F.lit(0), F.greatest(F.size("at") - need, F.lit(0)))
+    found = F.when(F.size("at") >= need, F.flatten(F.transform(every, lambda k: around(F.col("at"), k)))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.array_distinct(found), lambda start: F.struct(F.lit(half).alias("half"), start.cast("int").alias("start")))
 
 
-def triggers(templates: list[list[str]], containment: float = CONTAINMENT) -> list[str]:
-    """A few long words, one of which every match holds.
+def _bitmap(shingles: DataFrame, count: int) -> tuple[Column, int]:
+    """(a bitmap of (shingle) as an array of 64-bit words, its bits), one value of bounded size for all tasks."""
+    bits = 64
+    while bits < min(MAX_BITS, count * BITS_PER_SHINGLE):
+        bits *= 2
+    slot = F.pmod("shingle", F.lit(bits).cast("long"))
+    one = F.lit(1).cast("long")
+    words = shingles.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, slot.bitwiseAND(63).cast("int"))).alias("word"))
+    every = shingles.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("at"), "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    whole = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x.getField("word")).alias("bits"))
+    return whole.scalar(), bits
 
-    A match may lack some of a template's shingles.  If the words cover more
-    shingles than it may lack, it has a covered one.
-    """
-    sets = [{tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for w in templates]
-    due = [len(s) - math.ceil(containment * len(s) - 1e-9) + 1 if s else 0 for s in sets]
-    out: list[str] = []
-    while any(d > 0 for d in due):
-        gain: dict[str, float] = {}
-        for s, d in zip(sets, due, strict=True):
-            counts: dict[str, int] = {}
-            for x in s if d > 0 else ():
-                for w in set(x):
-                    counts[w] = counts.get(w, 0) + 1
-            for w, n in counts.items():
-                gain[w] = gain.get(w, 0) + min(n, d) * (len(w) - 1.5) ** 3
-        best = max(gain, key=lambda w: (gain[w], w))
-        out.append(best)
-        for k, s in enumerate(sets):
-            left = {x for x in s if best not in x}
-            due[k] -= len(s) - len(left)
-            sets[k] = left
-    return sorted(out)
+
+def builtin_templates(spark: SparkSession) -> DataFrame:
+    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("template")) for k, v in TEMPLATES.items()])
+    return spark.range(1).select(F.inline(rows))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, recall: float = RECALL) -> DataFrame:
@@ -132,36 +130,44 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     rt.prepare(spark)
     bands = bands_for(recall, containment)
     given = (templates if templates is not None else builtin_templates(spark)).select("license_id", words_of(F.col("template")).alias("words")).where(F.size("words") >= SHINGLE)
-    sizes = sizes_for(given.agg(F.max(F.size("words"))).first()[0] or 0)
-    head = given.select("words").limit(MAX_SMALL_TEMPLATES + 1).collect()
-    small = len(head) <= MAX_SMALL_TEMPLATES
-    marks = triggers([r.words for r in head], containment) if small else []
-    gated = 0 < len(marks) <= MAX_TRIGGERS
-    half = F.array_min(F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= F.size("words")))
-    wanted = given.select("license_id", half.alias("t_half"), _shingles(F.col("words")).alias("t_shingles"))
-    keys = wanted.select("*", F.posexplode(_signature(F.col("t_shingles"), bands)).alias("t_band", "t_value"))
-    used = sorted({next(s for s in sizes if s >= len(r.words)) for r in head}) if small and head else sizes
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    if gated:
-        lower = F.lower("text")
-        some = F.lit(False)
-        for m in marks:
-            some = some | F.contains(lower, F.lit(m))
-        chosen = chosen.where(some)
-    worded = chosen.select("doc_id", words_of(F.col("text")).alias("words"))
-    if gated:
-        at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(marks), i).otherwise(-1)), lambda i: i >= 0)
-    else:
-        at = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)))
-    worded = worded.withColumn("at", at).where(F.size("at") > 0)
-    starts = F.flatten(F.array(*[_starts(h) for h in used]))
-    windows = worded.select("doc_id", "words", F.inline(starts)).select("doc_id", "half", "start", _shingles(F.slice("words", F.col("start") + 1, F.col("half") * 2)).alias("shingles"))
-    windows = windows.where(F.size("shingles") > 0).select("*", F.posexplode(_signature(F.col("shingles"), bands)).alias("band", "value"))
-    found = windows.join(F.broadcast(keys) if small else keys, (F.col("half") == F.col("t_half")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
+    given = rt.materialize(given.select("license_id", F.size("words").alias("n_words"), _shingles(F.col("words")).alias("t_shingles")), "templates")
+    shape = given.agg(F.count(F.lit(1)).alias("n"), F.max("n_words").alias("longest"), F.sum(F.size("t_shingles")).alias("shingles")).first()
+    sizes = sizes_for(shape.longest or 0)
+    half = F.array_min(F.filter(F.lit(sizes), lambda s: s >= F.col("n_words")))
+    wanted = rt.materialize(given.select("license_id", half.alias("t_half"), "t_shingles", _signature(F.col("t_shingles"), bands).alias("t_values"), F.monotonically_increasing_id().alias("t_id")), "signed-templates")
+    # Of each size class that has a template, the fewest shingles of a match.
+    least = F.ceil(containment * F.size("t_shingles") - 1e-9)
+    needs = {r.t_half: max(1, r.need) for r in wanted.groupBy("t_half").agg(F.min(least).alias("need")).collect()}
+    bits, n_bits = _bitmap(wanted.select(F.explode("t_shingles").alias("shingle")), shape.shingles or 0)
+
+    def hit(w: Column, i: Column) -> Column:
+        slot = F.pmod(F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), F.lit(n_bits).cast("long"))
+        word = F.get(F.col("bits"), F.shiftright(slot, 6).cast("int"))
+        return F.call_function("shiftright", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    # No filters here: pushed down, they would compute words and places twice.
+    worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    every = F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(0), F.size("words") - SHINGLE)).otherwise(F.array().cast("array<int>"))
+    at = F.filter(every, lambda i: hit(F.col("words"), i))
+    placed = worded.select("doc_id", "words", bits.alias("bits")).select("doc_id", "words", at.alias("at"))
+    starts = F.flatten(F.array(*[_starts(h, n) for h, n in sorted(needs.items())])) if needs else F.array().cast("array<struct<half:int,start:int>>")
+    windows = placed.select("doc_id", "words", F.inline(starts)).select("doc_id", "half", "start", let(F.slice("words", F.col("start") + 1, F.col("half") * 2), _shingles).alias("shingles"))
+    signed = windows.select("*", _signature(F.col("shingles"), bands).alias("values")).select("*", F.posexplode("values").alias("band", "value"))
+
+    def bounded(df: DataFrame, size: int) -> DataFrame:
+        return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+    keys = wanted.select("t_id", "t_half", "t_values", F.posexplode("t_values").alias("t_band", "t_value"))
+    found = signed.join(bounded(keys, shape.n * bands * (bands + 8) * 8), (F.col("half") == F.col("t_half")) & (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")))
+    # A window meets a template once, in the first band they share.
+    found = found.where(F.array_position(F.zip_with("values", "t_values", lambda a, b: a == b), True) == F.col("band") + 1).select("doc_id", "t_id", "start", "shingles")
+    full = wanted.select(F.col("t_id").alias("f_id"), "license_id", "t_shingles")
+    if (size := (shape.shingles or 0) * 8) <= BROADCAST_BYTES:
+        met = found.join(bounded(full, size), F.col("t_id") == F.col("f_id"))
+    else:  # one license may be found in a third of all documents
+        salted = full.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = found.join(salted, (F.col("t_id") == F.col("f_id")) & (F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)) == F.col("t_salt")))
     share = F.size(F.array_intersect("t_shingles", "shingles")) / F.size("t_shingles")
-    verified = found.select("doc_id", "license_id", "start", share.alias("share")).where(F.col("share") >= containment)
-    # Bands can find a window repeatedly; partial aggregation folds that before the shuffle.
+    verified = met.select("doc_id", "license_id", "start", share.alias("share")).where(F.col("share") >= containment)
     each = verified.groupBy("doc_id", "license_id", "start").agg(F.max("share").alias("share"))
     return each.groupBy("doc_id", "license_id").agg(F.max("share").alias("containment"), F.min("start").cast("long").alias("first_word"), F.count(F.lit(1)).alias("windows"))

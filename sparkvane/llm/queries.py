@@ -58,7 +58,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op4_sql() -> str:
     """The same windows and containments, from every window and without bands."""
     quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
-    sizes = ", ".join(map(str, license_scan.SIZES))
+    sizes = ", ".join(map(str, license_scan.sizes_for(max(len(t.split()) for t in license_scan.TEMPLATES.values()))))
     words = r"list_filter(string_split(trim(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda w: w <> '')"
     shingles = "list_distinct([{0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2] for i in range(1, len({0}) - 1)])"
     return f"""
