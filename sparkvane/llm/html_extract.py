@@ -7,7 +7,8 @@ density on the way from the body to that node is the threshold: of what else
 hangs on that way, nodes that reach it stay, each with the densest subtree below
 it, and so do first-level headings and the way's own running text.  An article or
 main element overrides that: the one around the densest subtree, or else the one
-that is at least half of it, is the text.  Page furniture (menus, headers,
+that is at least half of it, is the text, with the others of its kind whose
+density reaches the lowest on its own way from the body.  Page furniture (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
 is cut by element, role and class before that.
 
@@ -54,7 +55,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPES = frozenset("ul ol dl table body html article section div main td th".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>|<(?P<raw>" + RAW + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -287,8 +288,11 @@ def select(root: _Node) -> _Node | None:
     if not body.chars:
         return None
     dense = {id(n): density(n, body) for n in order}
-    best, most = body, -1.0
-    for n in order:
+    best, most, below = body, -1.0, {id(body)}
+    for n in order:  # parents first
+        if n is not body and (n.parent is None or id(n.parent) not in below):
+            continue
+        below.add(id(n))
         total = sum(dense[id(k)] for k in n.kids if not k.junk)
         if total > most:
             best, most = n, total
@@ -303,11 +307,47 @@ def select(root: _Node) -> _Node | None:
         around = next((n for n in path if n.tag == tag), None)
         inner = [n for n in order if n.tag == tag and n.chars * 2 >= best.chars and _within(n, best)]
         if around is not None or inner:
-            return around if around is not None else max(inner, key=lambda n: n.chars)
+            found = around if around is not None else max(inner, key=lambda n: n.chars)
+            return _with_others(found, body, order, dense)
     _prune(body, order, path, dense)
     return body
 
 
+def _with_others(found: _Node, body: _Node, order: list[_Node], dense: dict[int, float]) -> _Node:
+    """found, or the body with nothing but it and the elements of its kind outside it that reach
+    the lowest density on found's own way from the body."""
+    way, n = {id(found), id(body)}, found
+    while n is not None and n is not body:
+        way.add(id(n))
+        n = n.parent
+    threshold = min(dense[i] for i in way)
+    held, inside = {id(found)}, {id(found)}
+    for n in order:  # parents first
+        if n is found or n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+        elif n.tag == found.tag and id(n) not in way and n.chars and dense[id(n)] >= threshold:
+            held.add(id(n))
+            inside.add(id(n))
+    if len(held) == 1:
+        return found
+    partial = set()
+    for n in order:
+        if id(n) in held:
+            while n is not body and n.parent is not None:
+                n = n.parent
+                partial.add(id(n))
+    stack = [body]
+    while stack:
+        n = stack.pop()
+        n.parts = [x for x in n.parts if not isinstance(x, str)]
+        for k in n.kids:
+            if id(k) in partial:
+                stack.append(k)
+            elif id(k) not in held:
+                k.junk = True
+    return body
+
+
 def _prune(body: _Node, order: list[_Node], path: list[_Node], dense: dict[int, float]) -> None:
     """Cut all below body but the densest subtree (path's first) and what reaches the path's threshold."""
     threshold, way = min(dense[id(x)] for x in path), {id(x) for x in path}
@@ -363,13 +403,13 @@ def text_of(node: _Node) -> str:
     while stack:
         x = stack.pop()
         if isinstance(x, str):
-            out.append(x)
+            out.append(_html.unescape(x))  # a reference ends where its text node does
         elif not x.junk or x is node:
             if x.tag in BLOCK:
                 out.append(" ")
                 stack.append(" ")
             stack += reversed(x.parts)
-    return " ".join(_html.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
 def main_text(page: str | None) -> str:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pytest
 
 from sparkvane.llm.html_extract import extract, main_text
@@ -169,3 +172,107 @@ def test_a_form_around_the_page_passes(inside):
     page = f"<html><body>{form}</body></html>".replace("<form><label>Mail</label><input></form>", "")
     assert main_text(page) == text
     assert main_text(f"<html><body>{ARTICLE}<form hidden>{inside}</form></body></html>") == TEXT
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>one</p><svg/><p>two</p></article>", "one two"),
+        ("<article><p>one</p><math class='x/y' /><p>two</p><svg viewBox='0 0 1 1'><text>no</text></svg></article>", "one two"),
+        ("<article><p>&not<i>in</i>; &amp<b>lt;</b></p></article>", "¬in; &lt;"),
+        ("<p>a <a href=/x/>link</a> b</p>", "a link b"),
+    ],
+)
+def test_foreign_elements_and_split_references(page, text):
+    assert main_text(page) == text
+
+
+def test_all_articles_of_a_page():
+    """Articles that are as dense as the way to the densest; cards and comments are not."""
+    first, second = ("".join(f"<p>{w} paragraph {i} has some running text in it, more than a teaser would.</p>" for i in range(4)) for w in ("First", "Second"))
+    text = " ".join(f"{w} paragraph {i} has some running text in it, more than a teaser would." for w in ("First", "Second") for i in range(4))
+    cards = "".join(f"<article class=card><h3><a href='/{i}'>Another story {i}</a></h3><a href='/{i}'><b>Read</b> <i>more</i></a></article>" for i in range(6))
+    for page in (
+        f"<main><article>{first}</article><article>{second}</article></main>",
+        f"<div><article>{first}</article><div>{cards}</div></div><div class=x><article>{second}</article></div>",
+        f"<article>{first}</article>{cards}<article>{second}</article><div id=comments><article><p>A reader's comment that runs on for quite a while, as they do.</p></article></div>",
+    ):
+        assert main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}</body></html>") == text
+    assert main_text(f"<html><body><article>{first}</article>{cards}</body></html>") == text[: text.index(" Second")]
+
+
+class Plain:
+    """A page of div, p and a elements, by the definition alone: every figure is counted anew."""
+
+    def __init__(self, rng, depth=0):
+        self.tag, self.kids, self.parent = "div", [], None
+        for _ in range(rng.integers(1, 5)):
+            kid = Plain(rng, depth + 1) if depth < 3 and rng.random() < 0.5 else Plain.paragraph(rng)
+            kid.parent = self
+            self.kids.append(kid)
+
+    @classmethod
+    def paragraph(cls, rng):
+        p = cls.__new__(cls)
+        p.tag, p.kids, p.parent = "p", [], None
+        for _ in range(rng.integers(1, 4)):
+            words = " ".join("w" * int(n) for n in rng.integers(1, 9, rng.integers(1, 30)))
+            if rng.random() < 0.4:
+                a = cls.__new__(cls)
+                a.tag, a.kids, a.parent, words = "a", [words], p, a
+            p.kids.append(words)
+        return p
+
+    def html(self):
+        return f"<{self.tag}>" + " ".join(k if isinstance(k, str) else k.html() for k in self.kids) + f"</{self.tag}>"
+
+    def nodes(self):
+        return [self, *(n for k in self.kids if not isinstance(k, str) for n in k.nodes())]
+
+    def elements(self):
+        return [k for k in self.kids if not isinstance(k, str)]
+
+    def text(self):
+        return " ".join(k if isinstance(k, str) else k.text() for k in self.kids)
+
+    def density(self, body):
+        def chars(t):
+            return len("".join(t.split()))
+
+        links, top = [n for n in self.nodes() if n.tag == "a"], [n for n in body.nodes() if n.tag == "a"]
+        c, lc, t, lt = chars(self.text()), sum(chars(n.text()) for n in links), len(self.nodes()) - 1, len(links)
+        ratio = sum(chars(n.text()) for n in top) / (chars(body.text()) or 1)
+        base = math.log(c / ((c - lc) or 1) * (lc or 1) + ratio * c + math.e)
+        return c / (t or 1) * math.log(max(1.0, c / (lc or 1) * (t or 1) / (lt or 1)) + 1e-9) / math.log(base + 1) if c else 0.0
+
+    def total(self, body):
+        return sum(k.density(body) for k in self.elements())
+
+    def main(self):
+        best = max(self.nodes(), key=lambda n: n.total(self))
+        way, n = [], best
+        while n is not None:
+            way.append(n)
+            n = n.parent
+        threshold, kept = min(x.density(self) for x in way), [best]
+
+        def hang(n):
+            if n not in kept and n.density(self) >= threshold:
+                kept.append(max(n.nodes(), key=lambda x: x.total(self)))
+                for k in n.elements() if n not in kept else ():
+                    hang(k)
+
+        for x in way[1:]:
+            for k in x.elements():
+                if k not in way:
+                    hang(k)
+        whole = [n for n in kept if not any(n is not k and n in k.nodes() for k in kept)]
+        return " ".join(n.text() for n in self.nodes() if n in whole)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_against_the_definition(seed):
+    page = Plain(np.random.default_rng(seed))
+    page.tag = "body"
+    page.kids = [k for k in page.kids if k.tag == "div"] or page.kids
+    assert main_text(f"<html>{page.html()}</html>") == " ".join(page.main().split())
