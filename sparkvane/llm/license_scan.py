@@ -9,8 +9,8 @@ notice can be as short as "All rights reserved".
 
 A window is signed only if it can match: a match has the contained share of
 some template's shingles of that size class, so at least as many of the window's
-shingles must be in a bitmap of all templates' shingles.  The bitmap has a
-bounded size; a crowded one only lets more windows through.
+shingles must be among that class's templates'.  A Bloom filter of bounded size
+tells; a crowded one only lets more windows through.
 
 The bands: a whole template makes up at least a quarter of its window's
 shingles, and ``bands_for`` gives the number that finds it at the target rate.
@@ -54,8 +54,8 @@ RECALL = 0.999
 #: Half window sizes in words; a template belongs to the least that holds it, and
 #: ``sizes_for`` goes on by quarters to the longest template.
 SIZES = (3, 4, 5, 6, 8, 10, 12, 15, 19, 24, 30, 38, 48, 60, 75, 94, 118, 148, 185, 232, 290)
-#: Of the bitmap of template shingles: bits for each, and bits at most (16 MB).
-BITS_PER_SHINGLE, MAX_BITS = 16, 1 << 27
+#: Of the bitmap of template shingles: bits for each, and bits at least and at most (16 MB).
+BITS_PER_SHINGLE, MIN_BITS, MAX_BITS = 64, 1 << 20, 1 << 27
 #: Bytes of templates (their band keys, their shingles) up to which they are broadcast; beyond, joined by shuffle with a salt.
 BROADCAST_BYTES, SALTS = 64 << 20, 16
 
@@ -76,44 +76,73 @@ def bands_for(recall: float = RECALL, containment: float = CONTAINMENT) -> int:
 
 
 def words_of(text: Column) -> Column:
-    flat = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    """A text's words; a text without any has the empty word alone, which makes no shingle."""
+    return F.split(F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def _hashes(words: Column) -> Column:
+    """The shingle that begins at each word: hashes of its words, each shifted by its place, without array look-ups."""
+
+    def shifted(k: int):
+        return lambda a, b: a.bitwiseXOR(F.shiftleft(b, k))
+
+    def joined(h: Column) -> Column:
+        n = F.size(h) - (SHINGLE - 1)
+        out = F.slice(h, 1, n)
+        for k in range(1, SHINGLE):
+            out = F.zip_with(out, F.slice(h, k + 1, n), shifted(k))
+        return F.when(n >= 1, out).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), joined)
 
 
 def _shingles(words: Column) -> Column:
-    n = F.size(words) - (SHINGLE - 1)
-    every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
-    return F.when(n >= 1, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(_hashes(words))
 
 
 def _signature(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda seed: F.array_min(F.transform(shingles, lambda x: F.xxhash64(seed, x))))
 
 
-def _starts(half: int, need: int) -> Column:
-    """The windows of one size that hold ``need`` of the positions in ``at``: at most two for each of them."""
+def _all(array: str) -> Column:
+    """The whole array, as an expression: of a plain column that is exploded Catalyst infers a filter
+    and pushes it down, where it would compute everything before it again, the words once for each word."""
+    return F.slice(F.col(array), 1, (1 << 31) - 1)
+
 
-    def around(at: Column, k: Column) -> Column:
-        first, last = F.get(at, k), F.get(at, k + (need - 1))
-        low = F.greatest(F.ceil((last + SHINGLE - 2 * half) / half), F.lit(0))
-        return F.transform(F.when(low <= F.floor(first / half), F.sequence(low, F.floor(first / half))).otherwise(F.array().cast("array<bigint>")), lambda j: j * half)
+def _starts(at: Column, half: int, need: int) -> Column:
+    """The windows of one size that hold ``need`` of the places in at: at most two for each of them."""
+    none = F.array().cast("array<bigint>")
 
-    every = F.sequence(F.lit(0), F.greatest(F.size("at") - need, F.lit(0)))
-    found = F.when(F.size("at") >= need, F.flatten(F.transform(every, lambda k: around(F.col("at"), k)))).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.array_distinct(found), lambda start: F.struct(F.lit(half).alias("half"), start.cast("int").alias("start")))
+    def around(first: Column, last: Column) -> Column:
+        low, high = F.greatest(F.ceil((last + SHINGLE - 2 * half) / half), F.lit(0)), F.floor(first / half)
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda j: j * half)).otherwise(none)
 
+    spans = F.transform(F.sequence(F.lit(0), F.size(at) - need), lambda k: around(F.get(at, k), F.get(at, k + (need - 1))))
+    found = F.when(F.size(at) >= need, F.array_distinct(F.flatten(spans))).otherwise(none)
+    return F.transform(found, lambda start: F.struct(F.lit(half).alias("half"), start.cast("int").alias("start")))
 
-def _bitmap(shingles: DataFrame, count: int) -> tuple[Column, int]:
-    """(a bitmap of (shingle) as an array of 64-bit words, its bits), one value of bounded size for all tasks."""
-    bits = 64
+
+def _slots(value: Column, words: int) -> list[tuple[Column, Column]]:
+    """A hash's two places: word, and bit in it."""
+    return [(F.shiftright(value, by + 6).bitwiseAND(words - 1).cast("int"), F.shiftright(value, by).bitwiseAND(63).cast("int")) for by in (0, 29)]
+
+
+def _filter_of(hashes: DataFrame, count: int) -> tuple[Column, int]:
+    """(a Bloom filter of (hash) as an array of 64-bit words, their number), one value of bounded size for all tasks."""
+    bits = MIN_BITS
     while bits < min(MAX_BITS, count * BITS_PER_SHINGLE):
         bits *= 2
-    slot = F.pmod("shingle", F.lit(bits).cast("long"))
-    one = F.lit(1).cast("long")
-    words = shingles.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, slot.bitwiseAND(63).cast("int"))).alias("word"))
-    every = shingles.sparkSession.range(bits // 64).join(words, F.col("id") == F.col("at"), "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
-    whole = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x.getField("word")).alias("bits"))
-    return whole.scalar(), bits
+    n = bits // 64
+    places = hashes.select(F.inline(F.array(*[F.struct(word.alias("at"), bit.alias("bit")) for word, bit in _slots(F.col("hash"), n)])))
+    words = places.groupBy("at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("word"))
+    every = hashes.sparkSession.range(n).join(words, F.col("id") == F.col("at"), "left").select("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x.getField("word")).alias("bits")).scalar(), n
+
+
+def _holds(filter_words: Column, value: Column, n: int) -> Column:
+    one, two = (F.getbit(F.get(filter_words, word), bit) == 1 for word, bit in _slots(value, n))
+    return one & two
 
 
 def builtin_templates(spark: SparkSession) -> DataFrame:
@@ -138,21 +167,34 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     # Of each size class that has a template, the fewest shingles of a match.
     least = F.ceil(containment * F.size("t_shingles") - 1e-9)
     needs = {r.t_half: max(1, r.need) for r in wanted.groupBy("t_half").agg(F.min(least).alias("need")).collect()}
-    bits, n_bits = _bitmap(wanted.select(F.explode("t_shingles").alias("shingle")), shape.shingles or 0)
-
-    def hit(w: Column, i: Column) -> Column:
-        slot = F.pmod(F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), F.lit(n_bits).cast("long"))
-        word = F.get(F.col("bits"), F.shiftright(slot, 6).cast("int"))
-        return F.call_function("shiftright", word, slot.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-
-    # No filters here: pushed down, they would compute words and places twice.
-    worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    every = F.when(F.size("words") >= SHINGLE, F.sequence(F.lit(0), F.size("words") - SHINGLE)).otherwise(F.array().cast("array<int>"))
-    at = F.filter(every, lambda i: hit(F.col("words"), i))
-    placed = worded.select("doc_id", "words", bits.alias("bits")).select("doc_id", "words", at.alias("at"))
-    starts = F.flatten(F.array(*[_starts(h, n) for h, n in sorted(needs.items())])) if needs else F.array().cast("array<struct<half:int,start:int>>")
-    windows = placed.select("doc_id", "words", F.inline(starts)).select("doc_id", "half", "start", let(F.slice("words", F.col("start") + 1, F.col("half") * 2), _shingles).alias("shingles"))
-    signed = windows.select("*", _signature(F.col("shingles"), bands).alias("values")).select("*", F.posexplode("values").alias("band", "value"))
+    # The filter has every shingle, and every shingle with its size class.
+    own = F.explode("t_shingles").alias("shingle")
+    marks = wanted.select(own, "t_half").select(F.explode(F.array("shingle", F.xxhash64("shingle", "t_half"))).alias("hash"))
+    bits, n_words = _filter_of(marks, 2 * (shape.shingles or 0))
+
+    def chosen(own: Column) -> Column:
+        """The windows that can match, from the places whose shingles the filter has."""
+
+        def places(hashes: Column) -> Column:  # of most texts there are none
+            every = F.transform(hashes, lambda h, i: F.when(_holds(own, h, n_words), F.struct(i.alias("i"), h.alias("h"))))
+            return F.when(F.exists(hashes, lambda h: _holds(own, h, n_words)), F.filter(every, lambda x: x.isNotNull()))
+
+        def of_class(found: Column, half: int, need: int) -> Column:
+            mine = F.filter(found, lambda x: _holds(own, F.xxhash64(x.getField("h"), F.lit(half)), n_words))
+            return let(F.transform(mine, lambda x: x.getField("i")), lambda at: _starts(at, half, need))
+
+        def by_class(found: Column) -> Column:
+            return F.when(found.isNotNull(), F.flatten(F.array(*[of_class(found, h, n) for h, n in sorted(needs.items())])))
+
+        return let(let(_hashes(F.col("words")), places), by_class)
+
+    # No filters here: pushed down, they would compute the words twice.  The filter's words are
+    # named once, so that they stay one value and never become a column of rows.
+    worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")).select("doc_id", "words", bits.alias("bits"))
+    starts = let(F.col("bits"), chosen) if needs else F.array().cast("array<struct<half:int,start:int>>")
+    placed = worded.select("doc_id", "words", starts.alias("starts"))
+    windows = placed.select("doc_id", "words", F.inline(_all("starts"))).select("doc_id", "half", "start", let(F.slice("words", F.col("start") + 1, F.col("half") * 2), _shingles).alias("shingles"))
+    signed = windows.select("*", _signature(F.col("shingles"), bands).alias("values")).select("*", F.posexplode(_all("values")).alias("band", "value"))
 
     def bounded(df: DataFrame, size: int) -> DataFrame:
         return F.broadcast(df) if size <= BROADCAST_BYTES else df
