@@ -35,7 +35,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = rt.materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        state = rt.materialize(_small_star(_large_star(state)).select("a", "b"), "stars")
+        last, state = state, rt.materialize(_small_star(_large_star(state)).select("a", "b"), "stars")
+        rt.drop(last)
         mark = tuple(state.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b", "a").cast("long"))).first())
         if mark == before:
             break

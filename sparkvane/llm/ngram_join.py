@@ -3,10 +3,12 @@
 1. One Arrow pass gives each document the set of its word n-grams (hashes),
    a 128-bit digest of the set, and MinHash bands.  Documents with one digest
    are copies and go on as one row, be they a million.
-2. Band hashes are shuffled.  A bucket's classes are dealt into blocks of a
-   bounded size, and every pair of blocks is a task, so no bucket meets whole
-   in one place.  A task knows the bands of its classes and keeps those that
-   meet a partner in no earlier band: each candidate pair has one task.
+2. Band hashes are shuffled.  A bucket's anchor is its least class, and all
+   buckets of one anchor are one group: near copies share many bands, and so one
+   or two anchors, not a bucket each.  A group's classes are dealt into blocks
+   of a bounded size, and every pair of blocks is a task, so no group meets
+   whole in one place.  A pair belongs to the group of the first band it shares;
+   a task keeps the classes that have a pair of their own in it.
 3. The texts of those classes join their tasks, and a task verifies its pairs
    on the full n-gram sets by a product of 0/1 matrices.  It returns a row
    for each class, with its number of links and its least linked class, never
@@ -43,6 +45,7 @@ RECALL = 0.999  # of a pair exactly at the threshold
 MAX_HASHES = 96
 BLOCK = 1024  # classes of one block
 BLOCK_NGRAMS = 4_000_000  # and their n-grams
+EVEN_BLOCK, EVEN_BLOCKS = 256, 8  # a smaller group is cut too, into up to so many blocks of this size, to spread its work
 
 
 def plan(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -106,11 +109,15 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int, id_col: str =
     return _keyed(chosen, "doc_id", "text").select("doc_id", "t1", "t2", "text").mapInArrow(run, "doc_id long, t1 long, t2 long, c1 long, c2 long, n_grams int, bands array<long>")
 
 
-def _fresh(bands_a: np.ndarray, bands_b: np.ndarray, band: int) -> np.ndarray:
-    """Pairs that agree in this band and in none before it."""
-    out = bands_a[:, None, band] == bands_b[None, :, band]
-    for k in range(band):
-        out &= bands_a[:, None, k] != bands_b[None, :, k]
+def _own(t: pa.Table, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pairs that share a band, the first of which belongs to the task's anchor."""
+    bands, here = _matrix(t, "bands"), _matrix(t, "anchors") == t.column("anchor")[0].as_py()
+    out, done = np.zeros((len(left), len(right)), bool), np.zeros((len(left), len(right)), bool)
+    for k in range(bands.shape[1]):
+        same = bands[left, None, k] == bands[None, right, k]
+        if here[left, k].any():
+            out |= same & ~done & here[left, k][:, None]
+        done |= same
     return out
 
 
@@ -124,8 +131,8 @@ def _halves(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, bool]:
     return t, np.flatnonzero(side == t.column("i")[0].as_py()), np.flatnonzero(side != t.column("i")[0].as_py()), False
 
 
-_TASK = ["key", "i", "j"]
-_MEMBER = "key long, i int, j int, block int, band int, c1 long, c2 long, node long, t1 long, t2 long, n_grams int, copies long, bands array<long>"
+_TASK = ["anchor", "i", "j"]
+_MEMBER = "anchor long, i int, j int, block int, c1 long, c2 long, node long, t1 long, t2 long, n_grams int, copies long, bands array<long>, anchors array<long>"
 _MEMBER_NAMES = [x.strip().split(" ")[0] for x in _MEMBER.split(",")]
 
 
@@ -138,8 +145,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each task's rows, those that have a pair of their own here."""
     for t in rt.sorted_groups(batches, _TASK):
         t, left, right, one = _halves(t)
-        bands, band = _matrix(t, "bands"), t.column("band")[0].as_py()
-        pairs = _fresh(bands[left], bands[right], band)
+        pairs = _own(t, left, right)
         if one:
             np.fill_diagonal(pairs, False)
         keep = np.zeros(t.num_rows, bool)
@@ -191,11 +197,10 @@ def _verifier(words: int, threshold: float):
             t, left, right, one = _halves(t)
             if not len(left) or not len(right):
                 continue
-            bands, band = _matrix(t, "bands"), t.column("band")[0].as_py()
             sizes = np.array([len(s) for s in sets], np.int64)
             both = shared([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
             union = sizes[left][:, None] + sizes[right][None, :] - both
-            linked = (both >= np.ceil(threshold * union - 1e-9)) & _fresh(bands[left], bands[right], band)
+            linked = (both >= np.ceil(threshold * union - 1e-9)) & _own(t, left, right)
             if one:
                 np.fill_diagonal(linked, False)
             node, copies = t.column("node").to_numpy(), t.column("copies").to_numpy()
@@ -232,16 +237,24 @@ def _grouped(docs: DataFrame, words: int, threshold: float, recall: float, id_co
     # A class is a node of its own, whatever its doc_id; written, the numbers stay.
     classes = rt.materialize(grouped.select("*", F.monotonically_increasing_id().alias("node")), "classes")
 
-    # Buckets: a band's number is part of its hash.
-    spread = classes.where("n_grams > 0").select("c1", "c2", "n_grams", F.posexplode("bands").alias("band", "key"))
-    sizes = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("weight")).where("members > 1").select(F.col("key").alias("bucket"), "members", "weight")
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_NGRAMS)).cast("int")
-    met = spread.join(sizes, F.col("key") == F.col("bucket")).select("key", "band", "c1", "c2", blocks.alias("blocks"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("c1", "c2", "key"), F.col("blocks")).cast("int"))
-    about = classes.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "node", F.col("head.t1").alias("t1"), F.col("head.t2").alias("t2"), "n_grams", "copies", "bands")
-    met = met.join(about, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).drop("d1", "d2")
-    tasks = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "c1", "c2", "node", "t1", "t2", "n_grams", "copies", "bands")
+    # Buckets: a band's number is part of its hash.  A class has at most one anchor for each band.
+    spread = classes.where("n_grams > 0").select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("anchor")).where("members > 1").select(F.col("key").alias("bucket"), "anchor")
+    met = spread.join(buckets, F.col("key") == F.col("bucket")).groupBy(F.col("node").alias("m_node")).agg(F.collect_list(F.struct("band", "anchor")).alias("at"))
+    anchors = F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)),
+        lambda k: F.coalesce(F.get(F.filter("at", lambda x: x.getField("band") == k), F.lit(0)).getField("anchor"), F.lit(-1).cast("long")),
+    )
+    about = classes.select("c1", "c2", "node", F.col("head.t1").alias("t1"), F.col("head.t2").alias("t2"), "n_grams", "copies", "bands")
+    members = rt.materialize(about.join(met.select("m_node", anchors.alias("anchors")), F.col("node") == F.col("m_node")).drop("m_node"), "members")
+
+    grouped = members.select("*", F.explode(F.array_distinct(F.filter("anchors", lambda x: x >= 0))).alias("anchor"))
+    sizes = grouped.groupBy(F.col("anchor").alias("group")).agg(F.count(F.lit(1)).alias("members"), F.sum("n_grams").alias("weight"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("weight") / BLOCK_NGRAMS), F.least(F.ceil(F.col("members") / EVEN_BLOCK), F.lit(EVEN_BLOCKS)))
+    dealt = grouped.join(sizes.select("group", blocks.cast("int").alias("blocks")), F.col("anchor") == F.col("group"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", "anchor"), F.col("blocks")).cast("int"))
+    tasks = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tasks = tasks.select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *_MEMBER_NAMES[3:])
     placed = tasks.repartition(n, *_TASK).sortWithinPartitions(*_TASK)
     candidates = rt.materialize(placed.mapInArrow(_candidates, _MEMBER), "candidates")
 
@@ -252,6 +265,8 @@ def _grouped(docs: DataFrame, words: int, threshold: float, recall: float, id_co
     own = own.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = candidates.join(own, (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))).select(*_MEMBER_NAMES, "text")
     verified = rt.materialize(texts.repartition(n, *_TASK).sortWithinPartitions(*_TASK).mapInArrow(_verifier(words, threshold), _LINKED), "links")
+    rt.drop(candidates)
+    rt.drop(members)
 
     found = verified.groupBy(F.col("node").alias("f_node")).agg(F.sum("links").alias("links"))
     groups = components(verified.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "g_node")
