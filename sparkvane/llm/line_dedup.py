@@ -112,8 +112,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     rt.prepare(spark)
     order = ["h1", "h2", "doc"]
-    placed = line_hashes(docs, id_col, text_col, min_chars).repartitionByRange(rt.partitions(spark), *order).sortWithinPartitions(*order, "version", "pos")
+    # Written first: the ranges are then sampled from the hashes, not from a second pass over the texts.
+    hashes = rt.materialize(line_hashes(docs, id_col, text_col, min_chars), "line-hashes")
+    placed = hashes.repartitionByRange(rt.partitions(spark), *order).sortWithinPartitions(*order, "version", "pos")
     marks = rt.materialize(placed.mapInArrow(_first_occurrences, _MARKS), "lines")
+    rt.drop(hashes)
     # Two rows for each partition, however large the corpus.
     edges = marks.where(F.col("kind").isin(_FIRST, _LAST)).select("part", "kind", "h1", "h2").orderBy("part", "kind").collect()
     going_on, before = [], None
@@ -151,8 +154,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = [b.column(0), b.column(1), b.column(2), pa.array([len(x) for x in at], pa.int32()), pa.array([pack(n, x) for n, x in zip(sizes, at, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "version", "n_lines", "n_dropped", "keep"])
 
-    # A group is one document's lines: as large as its text, no larger.
-    per_doc = gone.groupBy("doc", "version", "n_lines").agg(F.collect_list("pos").alias("at"))
+    # A group is one document's lines: as large as its text, no larger, however often the row is repeated.
+    per_doc = gone.groupBy("doc", "version", "n_lines").agg(F.collect_set("pos").alias("at"))
     return per_doc.select("doc", "version", "n_lines", "at").mapInArrow(run, BITMAPS)
 
 

@@ -49,6 +49,13 @@ def test_repeated_rows_are_one_document(docs):
     assert got[1][0] == "only in document one" and got[2] == ("more", 2, 1)
 
 
+def test_a_row_that_is_repeated_often(docs):
+    """Its places are gathered once, not once for each copy."""
+    text = "\n".join(f"shared line number {k:04}" for k in range(20)) + "\nan own line"
+    got = kept(docs, [(0, text), *[(1, text + "s")] * 400])
+    assert got[0] == (text, 21, 0) and got[1] == ("an own lines", 21, 20)
+
+
 def test_null_ids_come_first(docs):
     got = kept(docs, [(None, "a shared long line"), (3, "a shared long line\nb")])
     assert got == {None: ("a shared long line", 1, 0), 3: ("b", 2, 1)}
