@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -100,36 +101,39 @@ class Windows:
 
     def add(self, turn: Turn) -> list[tuple]:
         out = []
-        if self.new and self._fixed() + self.sums[-1] + turn.tokens > self.budget:
-            out.append(self.close())
-            # The new turn with its history, or with less of it where that is too much.
-            while self.history and self._fixed() + turn.tokens > self.budget:
-                self.history.pop(0)
         if not self.seen and turn.role == "system":
             self.system = turn
         self.seen += 1
         self.new.append(turn)
         self.sums.append(self.sums[-1] + turn.tokens)
+        # The prefix sums say how many of the turns fit beside what is repeated; one always goes in.
+        while (fit := max(1, bisect_right(self.sums, self.budget - self._fixed()) - 1)) < len(self.new):
+            out.append(self.close(fit))
+            # The next turn with its history, or with less of it where that is too much.
+            while self.history and self._fixed() + self.new[0].tokens > self.budget:
+                self.history.pop(0)
         return out
 
-    def close(self) -> tuple:
-        """(window, text, new turns, repeated turns, tokens, loss starts, loss ends)."""
+    def close(self, fit: int | None = None) -> tuple:
+        """The window of the first new turns: (window, text, new turns, repeated turns, tokens, loss starts, loss ends)."""
+        fit = len(self.new) if fit is None else fit
+        new, rest = self.new[:fit], self.new[fit:]
         repeated = ([self.system] if self.number and self.system else []) + self.history
         parts, starts, ends, at = [], [], [], 0
-        for i, t in enumerate(repeated + self.new):
+        for i, t in enumerate(repeated + new):
             head, body = f"{START}{escape_role(t.role)}\n", escape(t.text)
             if i >= len(repeated) and t.role == LEARNED:
                 starts.append(at + len(head))
                 ends.append(at + len(head) + len(body))
             parts += [head, body, f"{END}\n"]
             at += len(head) + len(body) + len(END) + 1
-        out = (self.number, "".join(parts), len(self.new), len(repeated), self._fixed() + self.sums[-1], starts, ends)
+        out = (self.number, "".join(parts), fit, len(repeated), self._fixed() + self.sums[fit], starts, ends)
         kept: list[Turn] = []
-        for t in reversed(self.new[-self.history_turns :] if self.history_turns else []):
+        for t in reversed(new[-self.history_turns :] if self.history_turns else []):
             if t is self.system or sum(x.tokens for x in kept) + t.tokens > self.history_tokens:
                 break
             kept.insert(0, t)
-        self.history, self.new, self.sums, self.number = kept, [], [0], self.number + 1
+        self.history, self.new, self.sums, self.number = kept, rest, [x - self.sums[fit] for x in self.sums[fit:]], self.number + 1
         return out
 
 
