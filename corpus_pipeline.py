@@ -62,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = rt.materialize(stage(spark, docs, sf_dir), name)
+        with rt.passing(spark):  # what a stage writes on its way goes when its result is written
+            docs = rt.materialize(stage(spark, docs, sf_dir), name, inside=False)
+        rt.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
