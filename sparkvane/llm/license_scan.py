@@ -186,11 +186,12 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
         def by_class(found: Column) -> Column:
             return F.when(found.isNotNull(), F.flatten(F.array(*[of_class(found, h, n) for h, n in sorted(needs.items())])))
 
-        return let(let(_hashes(F.col("words")), places), by_class)
+        return let(let(F.col("hashes"), places), by_class)
 
-    # No filters here: pushed down, they would compute the words twice.  The filter's words are
-    # named once, so that they stay one value and never become a column of rows.
-    worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")).select("doc_id", "words", bits.alias("bits"))
+    # No conditions on rows here: pushed down, they would compute the words twice.  Hashes and Bloom
+    # filter are named once below, so Catalyst puts the filter into the expression as one value; as
+    # a column of its own it would be copied into every row.  Words are named twice and stay a column.
+    worded = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words")).select("doc_id", "words", _hashes(F.col("words")).alias("hashes"), bits.alias("bits"))
     starts = let(F.col("bits"), chosen) if needs else F.array().cast("array<struct<half:int,start:int>>")
     placed = worded.select("doc_id", "words", starts.alias("starts"))
     windows = placed.select("doc_id", "words", F.inline(_all("starts"))).select("doc_id", "half", "start", let(F.slice("words", F.col("start") + 1, F.col("half") * 2), _shingles).alias("shingles"))
