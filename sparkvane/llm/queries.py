@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_path
+from . import _runtime as rt
 from . import chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, piece_codec, token_files, toxicity, transport_stream
 
 PATH = "{}/{}.parquet"
@@ -140,7 +141,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport_stream.round_trip(table(spark, sf_dir, "documents"))
+    media = rt.materialize(transport_stream.store(table(spark, sf_dir, "documents")), "media")
+    return transport_stream.inspect(media)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
