@@ -51,12 +51,12 @@ _open = threading.local()
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized inside, in this thread, go when the block ends."""
-    outer, _open.paths = getattr(_open, "paths", None), []
+    blocks = _open.__dict__.setdefault("blocks", [])
+    blocks.append([])
     try:
         yield
     finally:
-        gone, _open.paths = _open.paths, outer
-        for path in gone:
+        for path in blocks.pop():
             discard(spark, path)
 
 
@@ -64,12 +64,14 @@ def materialize(df: DataFrame, label: str, inside: bool = True) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a
     lost executor costs nothing that was done before.
 
-    The table goes with the enclosing ``passing`` block, unless inside is false.
+    The table goes with the enclosing ``passing`` block, or with the one around
+    that if inside is false.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if inside and getattr(_open, "paths", None) is not None:
-        _open.paths.append(path)
+    blocks = getattr(_open, "blocks", [])
+    if len(blocks) > (not inside):
+        blocks[-1 if inside else -2].append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkvane_path = path

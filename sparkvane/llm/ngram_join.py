@@ -303,7 +303,8 @@ def join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, reca
 def representatives(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near duplicates: of each group one row with the least doc_id stays,
     of a group without any doc_id one row."""
-    joined = rt.materialize(_grouped(docs, words, threshold, recall, id_col, text_col), "groups")
+    with rt.passing(docs.sparkSession):
+        joined = rt.materialize(_grouped(docs, words, threshold, recall, id_col, text_col), "groups", inside=False)
     k1, k2, g1, g2 = rt.unused(docs, "row1", "row2", "gone1", "gone2")
     gone = joined.where((F.col("t1") != F.col("w1")) | (F.col("t2") != F.col("w2"))).select(F.col("t1").alias(g1), F.col("t2").alias(g2)).distinct()
     again = joined.where("copies > 1").groupBy("t1", "t2").count().where("count > 1").select(F.col("t1").alias(g1), F.col("t2").alias(g2))
